@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from siftwell.llm import bpe, exact, fingerprints, packing, quality, secrets, toxicity
+from siftwell.llm import bpe, exact, fingerprints, jaccard_join, packing, quality, secrets, toxicity
 from siftwell.session import ship
 
 
@@ -25,6 +25,7 @@ def _queries() -> dict:
     return {
         "op1_bpe_transducer": bpe.op1,
         "op2_weighted_fingerprints": fingerprints.op2,
+        "op3_jaccard_join": jaccard_join.op3,
         "op4_quality_network": quality.op4,
         "op7_exact_dedup": exact.op7,
         "op8_secret_ledger": secrets.op8,

@@ -26,7 +26,9 @@ from siftwell.llm.labelled import crc_of_id, sample
 
 #: Rows of each class that the model is fitted on, at most.
 PER_CLASS = 2500
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: An n-gram takes part if it is in so many of the texts fitted on; rarer ones would only be learned by heart.
+LEAST_TEXTS = 5
 DIM = 8
 #: Words of a segment; segments overlap by half.
 SEGMENT = 16
@@ -62,22 +64,28 @@ class Model:
     softmax: np.ndarray
     bias: np.ndarray
 
+    known: np.ndarray  # which n-grams take part
+
     def word_value(self, word: str) -> float:
-        both = self.embedding[grams(word)].mean(axis=0) @ self.softmax
+        bag = np.array(grams(word))
+        bag = bag[self.known[bag]]
+        if not len(bag):
+            return 0.0
+        both = self.embedding[bag].mean(axis=0) @ self.softmax
         return float(both[1] - both[0])
 
     def margin(self, values: list[float]) -> float:
         return float(segments(np.array(values)).max() + self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: int = 90, warm: int = 25, rate: float = 0.05, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: int = 160, warm: int = 25, rate: float = 0.05, decay: float = 1e-5, tilt: float = 3.0, seed: int = 7) -> Model:
     """Full-batch Adam. For ``warm`` rounds every segment carries its text's label, then only the most toxic one does.
 
-    Classes weigh as much as they have rows in the corpus, so scores are probabilities there. Without
-    rows of both classes the model gives the prior.
+    Classes weigh as much as they have rows in the corpus, toxic ones ``tilt`` times that, as a missed one
+    costs more. Without rows of both classes the model gives the prior.
     """
     rng = np.random.default_rng(seed)
-    model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32))
+    model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32), np.zeros(BUCKETS, bool))
     total = sum(counts.values())
     if len(set(labels)) < 2:
         p = (counts.get(1, 0) + 0.5) / (total + 1)
@@ -96,18 +104,25 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
     seg_len = np.diff(np.append(seg_start, len(word)))
     of_seg = np.repeat(np.arange(len(seg_start), dtype=np.int32), seg_len)
     of_doc = np.repeat(np.arange(len(doc_start)), np.diff(np.append(doc_start, len(seg_start))))
-    bags = [grams(w) for w in number]
-    gram = np.array([g for b in bags for g in b], np.int32)
+    bags = [np.unique(grams(w)) for w in number]
+    in_texts = np.zeros(BUCKETS, np.int32)
+    for d, a in enumerate(doc_start):
+        z = doc_start[d + 1] if d + 1 < len(doc_start) else len(seg_start)
+        own = np.unique(word[seg_start[a] : seg_start[z] if z < len(seg_start) else len(word)])
+        in_texts[np.unique(np.concatenate([bags[w] for w in own]))] += 1
+    model.known = in_texts >= min(LEAST_TEXTS, 1 + len(texts) // 20)
+    bags = [np.array(b)[model.known[b]] for b in map(grams, number)]
     bag_len = np.array([len(b) for b in bags])
-    bag_start = np.concatenate([[0], np.cumsum(bag_len)[:-1]])
+    gram = np.concatenate(bags).astype(np.int32)
     of_bag = np.repeat(np.arange(len(bags), dtype=np.int32), bag_len)
+    bag_len = np.maximum(bag_len, 1)
     y = np.array(labels, np.float32)
     have = np.bincount(y.astype(int), minlength=2)
-    weight = np.where(y == 1, counts[1] / have[1], counts[0] / have[0]) / total
+    weight = np.where(y == 1, tilt * counts[1] / have[1], counts[0] / have[0]) / total
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.embedding, model.softmax, model.bias)]
     for step in range(1, rounds + 1):
         theta = model.softmax[:, 1] - model.softmax[:, 0]
-        by_word = np.add.reduceat((model.embedding @ theta)[gram], bag_start) / bag_len
+        by_word = np.bincount(of_bag, (model.embedding @ theta)[gram], len(bags)) / bag_len
         margin = np.add.reduceat(by_word[word], seg_start) / seg_len + model.bias[1] - model.bias[0]
         if step <= warm:
             pull = (1 / (1 + np.exp(-margin)) - y[of_doc]) * (weight / np.bincount(of_doc))[of_doc]
@@ -121,7 +136,7 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
         on_word = np.bincount(word, (pull / seg_len)[of_seg], len(bags))
         on_gram = np.bincount(gram, (on_word / bag_len)[of_bag], BUCKETS).astype(np.float32)
         on_theta = on_gram @ model.embedding + 1e-5 * theta
-        slope = [on_gram[:, None] * theta + 1e-7 * model.embedding, np.stack([-on_theta, on_theta], 1), np.array([-pull.sum(), pull.sum()], np.float32)]
+        slope = [on_gram[:, None] * theta + decay * model.embedding, np.stack([-on_theta, on_theta], 1), np.array([-pull.sum(), pull.sum()], np.float32)]
         for p, g, (m, v) in zip((model.embedding, model.softmax, model.bias), slope, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
