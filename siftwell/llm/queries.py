@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from siftwell.llm import bpe, exact, fingerprints, jaccard_join, packing, quality, secrets, toxicity
+from siftwell.llm import bpe, exact, fingerprints, jaccard_join, lines, packing, pii, quality, secrets, toxicity
 from siftwell.session import ship
 
 
@@ -27,6 +27,8 @@ def _queries() -> dict:
         "op2_weighted_fingerprints": fingerprints.op2,
         "op3_jaccard_join": jaccard_join.op3,
         "op4_quality_network": quality.op4,
+        "op5_line_chunks": lines.op5,
+        "op6_personal_data": pii.op6,
         "op7_exact_dedup": exact.op7,
         "op8_secret_ledger": secrets.op8,
         "op9_best_fit_packing": packing.op9,
@@ -35,4 +37,4 @@ def _queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact.OP7_SQL}
+    return {"op5_line_chunks": lines.OP5_SQL, "op7_exact_dedup": exact.OP7_SQL}

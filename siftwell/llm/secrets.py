@@ -117,3 +117,25 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def masked(docs: DataFrame, ledger: DataFrame, by: str = "*") -> DataFrame:
+    """``docs`` with every code point of a finding replaced by ``by``. A null text stays null; clean texts are untouched."""
+    fields = docs.schema
+    at = fields.fieldNames().index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, ends = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            columns = list(b.columns[:-2])
+            if any(starts):
+                texts = columns[at].to_pylist()
+                for i, (ss, es) in enumerate(zip(starts, ends, strict=True)):
+                    for s, e in zip(ss or (), es or (), strict=True):
+                        texts[i] = texts[i][:s] + by * (e - s) + texts[i][e:]
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-2])
+
+    known = ledger.where((F.col("rules") == RULES) & (F.size("kinds") > 0)).select(F.col("blob").alias("_blob"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+    keyed = docs.withColumn("_blob", F.sha2(text_or_empty().cast("binary"), 256)).join(known, "_blob", "left")
+    return keyed.select(*docs.columns, "_starts", "_ends").mapInArrow(run, fields)

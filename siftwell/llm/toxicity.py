@@ -152,17 +152,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = shared.value, {}
+        memo: dict[str, float] = {}
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                words = _WORD.findall(t.lower())
-                for w in set(words).difference(memo):
-                    memo[w] = m.word_value(w)
-                out.append(m.margin(list(map(memo.__getitem__, words))))
-                if len(memo) > _MEMO:
-                    memo.clear()
-            p = 1 / (1 + np.exp(-np.clip(np.array(out), -60, 60)))
+            p = _scores(shared.value, batch.column(1).to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -172,6 +164,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn) -> Model:
     return train(*sample(docs, labels, "toxic", learn, PER_CLASS))
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, unchanged, that score under ``threshold``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
+        for b in batches:
+            yield b.filter(pa.array(_scores(shared.value, b.column(at).to_pylist(), memo) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(m: Model, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
+    out = []
+    for t in texts:
+        words = _WORD.findall((t or "").lower())
+        for w in set(words).difference(memo):
+            memo[w] = m.word_value(w)
+        out.append(m.margin(list(map(memo.__getitem__, words))))
+        if len(memo) > _MEMO:
+            memo.clear()
+    return 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -60, 60)))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = crc_of_id() % 3 == 1
