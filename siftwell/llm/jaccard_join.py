@@ -9,7 +9,8 @@ the sizes). The join is exact up to collisions of 64-bit hashes:
 2. A set's prefix is its first quarter in that order, and one more. Linked sets share a prefix shingle, so
    for each prefix shingle the classes (distinct sets) that have it form a group, named by its least class.
    Copies are one class and groups of one end here.
-3. In each group, shingles are hashed into coordinates and the counts are points of an R-tree. The sum of
+3. In each group, shingles are hashed into coordinates (more of them for larger
+   sets) and the counts are points of an R-tree. The sum of
    coordinate minima bounds the overlap from above, for nodes by their upper corners and then for points;
    what survives is verified on the sets. Classes that are already connected need no further look, so a
    group of near copies takes about one verification each, not all pairs.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import materialize, partitions, read_table, small_batches, text_or_empty
 
 WORDS = 5
-#: Coordinates of a count vector.
+#: Least coordinates of a count vector; larger sets have more.
 GROUPS = 64
 #: Counters of the sketch, and the blocks in which partitions hand them over.
 SKETCH, BLOCKS = 1 << 18, 16
@@ -48,6 +49,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS):
         self.n, self.memo = words, {}
+        self.odd = _mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space
@@ -60,10 +62,13 @@ class Shingler:
             memo[w] = xxhash.xxh3_64_intdigest(w)
         h = np.array(list(map(memo.__getitem__, words)), np.uint64)
         n = min(self.n, len(h))
-        out = np.full(len(h) - n + 1, np.uint64(n))
-        for k in range(n):
-            out = _mix(out ^ h[k : k + len(out)])
-        return np.unique(out)
+        size = len(h) - n + 1
+        out = h[:size] * self.odd[0]
+        for k in range(1, n):
+            out += h[k : k + size] * self.odd[k]
+        out = _mix(out + np.uint64(n))
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,8 +76,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def level_of(size: int) -> int:
+    """Coordinates of the count vector of a set: a power of two near an eighth of the size, so that the bound stays sharp."""
+    return max(GROUPS, 1 << (size // 8).bit_length())
+
+
 def vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    level = level_of(len(shingles))
+    return np.bincount((shingles & np.uint64(level - 1)).astype(np.int64), minlength=level).astype(np.int32)
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -128,34 +139,47 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 7 * both >= 3 * (len(a) + len(b))
 
 
+def candidates(points: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member with the smaller ones that the bound allows it to link with.
+
+    Sets that can link differ by a third in size at most, so their vectors have the same number of
+    coordinates or one has twice as many; folding its halves together makes them comparable.
+    """
+    level = np.array([len(p) for p in points])
+    for g in np.unique(level):
+        member = np.flatnonzero((level == g) | (level == 2 * g))
+        if len(member) < 2:
+            continue
+        member = member[np.argsort(sizes[member], kind="stable")]
+        own = level[member] == g
+        tree = CountTree(np.stack([points[i] if len(points[i]) == g else points[i].reshape(2, g).sum(axis=0) for i in member]), sizes[member])
+        for k in range(1, len(member)):
+            found = tree.candidates(tree.points[k], int(tree.sizes[k]), k)
+            if not own[k]:
+                found = found[own[found]]
+            if len(found):
+                yield int(member[k]), member[found[::-1]]
+
+
 def connect(sets: list[np.ndarray], same: list[int] | None = None) -> list[int]:
     """The component of each set, as the number of one member. ``same`` names members connected before."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in order])
-    points = np.stack([vector(sets[i]) for i in order])
-    tree, forest = CountTree(points, sizes), Forest(len(sets))
+    forest = Forest(len(sets))
     for i in (same or [])[1:]:
         forest.join(same[0], i)
-    for k in range(1, len(order)):
-        for j in tree.candidates(points[k], int(sizes[k]), k)[::-1]:
-            a, b = order[k], order[j]
+    for a, partners in candidates([vector(s) for s in sets], np.array([len(s) for s in sets])):
+        for b in partners:
             if forest.root(a) != forest.root(b) and linked(sets[a], sets[b]):
                 forest.join(a, b)
     return [forest.root(i) for i in range(len(sets))]
 
 
-def may_link(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def may_link(points: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """Which members of a group have a partner that the bound allows."""
-    order = np.argsort(sizes, kind="stable")
-    p, s = points[order], sizes[order]
-    tree, keep = CountTree(p, s), np.zeros(len(s), bool)
-    for k in range(1, len(s)):
-        if len(found := tree.candidates(p[k], int(s[k]), k)):
-            keep[k] = True
-            keep[found] = True
-    out = np.zeros(len(s), bool)
-    out[order] = keep
-    return out
+    keep = np.zeros(len(points), bool)
+    for a, partners in candidates(points, sizes):
+        keep[a] = True
+        keep[partners] = True
+    return keep
 
 
 # --- steps on Spark --------------------------------------------------------------------------------
@@ -191,7 +215,7 @@ def sketch(rows: DataFrame, words: int) -> np.ndarray:
 
 def profile(rows: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
     """``doc, cls, n, vec, keys``: a set's class, size, count vector and prefix (null where the task had the class before)."""
-    common = rows.sparkSession.sparkContext.broadcast(counts)
+    common = rows.sparkSession.sparkContext.broadcast((np.log2(counts + 1) * 1024).astype(np.uint64))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, rare = Shingler(words), set(), common.value
@@ -210,8 +234,9 @@ def profile(rows: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
                         seen.add(c)
                         if len(seen) > 1_000_000:
                             seen.clear()
-                        order = np.lexsort((s, rare[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                        keys.append(s[order[: len(s) - -(-3 * len(s) // 4) + 1]].view(np.int64))
+                        rank = rare[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(40) | s >> np.uint64(24)
+                        last = len(s) - -(-3 * len(s) // 4)  # all up to the rank at this place, ties with it too
+                        keys.append(s[rank <= np.partition(rank, last)[last]].view(np.int64))
                     else:
                         keys.append(None)
                 yield pa.RecordBatch.from_arrays([docs[lo:hi], pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "cls", "n", "vec", "keys"])
@@ -276,7 +301,7 @@ def bounded(groups: DataFrame) -> DataFrame:
         size = 0
         for g in _by_group(batches):
             if g["chunks"].iloc[0] == 1:
-                keep = may_link(np.stack([np.frombuffer(v, np.int32) for v in g["vec"]]), g["n"].to_numpy())
+                keep = may_link([np.frombuffer(v, np.int32) for v in g["vec"]], g["n"].to_numpy())
                 g = g[keep]
             if len(g):
                 out.append(g[["pivot", "chunk", "chunks", "cls"]].to_numpy())
