@@ -16,10 +16,12 @@ import heapq
 import json
 import os
 import re
+import struct
 import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import small_batches, text_or_empty
+from siftwell.llm.common import materialize, small_batches, text_or_empty
 
 #: Words of the corpus that are compiled into the lexicon, the most frequent first.
 LEXICON_WORDS = 32_768
 #: Words that a worker keeps resolved; then it starts anew.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 900_000
 #: Distinct words that a worker counts before it hands the counts on.
 COUNT_WORDS = 400_000
 
+_NEVER = 1 << 62
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
@@ -62,10 +65,12 @@ class Merger:
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.alphabet = _byte_alphabet()
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        # One number for a pair and one for its rank with the token that it becomes.
+        self.base = 1 + max(self.vocab.values())
+        self.ranks: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.ranks.setdefault(self.vocab[a] * self.base + self.vocab[b], rank * self.base + self.vocab[a + b])
         self.first = [self.vocab[c] for c in self.alphabet]
         self.last = [self.vocab[c + self.suffix] for c in self.alphabet]
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -86,22 +91,26 @@ class Merger:
 
     def merge(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogatepass")
+        last = self.last[raw[-1]]
+        if len(raw) > 48:
+            return tuple(self._long([*map(self.first.__getitem__, raw[:-1]), last]))
         ids = [self.first[b] for b in raw]
-        ids[-1] = self.last[raw[-1]]
-        return tuple(self._short(ids) if len(ids) <= 48 else self._long(ids))
-
-    def _short(self, ids: list[int]) -> list[int]:
-        ranks = self.ranks
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                r = ranks.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        ids[-1] = last
+        get, base = self.ranks.get, self.base
+        # The rank of each neighbouring pair, with the token it becomes; after a merge only two of them change.
+        pairs = [get(a * base + b, _NEVER) for a, b in pairwise(ids)]
+        while pairs:
+            best = min(pairs)
+            if best == _NEVER:
                 break
-            ids[at : at + 2] = [best[1]]
-        return ids
+            i = pairs.index(best)
+            token = ids[i] = best % base
+            del ids[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get(ids[i - 1] * base + token, _NEVER)
+            if i < len(pairs):
+                pairs[i] = get(token * base + ids[i + 1], _NEVER)
+        return tuple(ids)
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list: a word may be a whole text."""
@@ -111,8 +120,8 @@ class Merger:
 
         def offer(i: int) -> None:
             j = right[i]
-            if j >= 0 and (r := ranks.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (r[0], i, ids[i], ids[j], r[1]))
+            if j >= 0 and (r := ranks.get(ids[i] * self.base + ids[j])) is not None:
+                heapq.heappush(heap, (r // self.base, i, ids[i], ids[j], r % self.base))
 
         for i in range(n - 1):
             offer(i)
@@ -249,13 +258,20 @@ class Splitter:
             (self.plain if agreed else self.odd).add(c)
         return chars <= self.plain
 
-    def words(self, text: str) -> list[str]:
+    def _plain_text(self, text: str) -> str | None:
+        """The text composed and in lower case, None if it has characters on which the libraries may differ."""
         if text.isascii():
-            return _ASCII_WORD.findall(text.lower())
+            return text.lower()
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self._is_plain(set(low)):
-            return _WORD.findall(low)
-        return self._by_library(text)
+        return low if self._is_plain(set(low)) else None
+
+    def words(self, text: str) -> list[str]:
+        low = self._plain_text(text)
+        return self._by_library(text) if low is None else self.cut(low)
+
+    @staticmethod
+    def cut(low: str) -> list[str]:
+        return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
 
     def _by_library(self, text: str) -> list[str]:
         """Characters on which the regular expressions of the two libraries may differ."""
@@ -291,25 +307,19 @@ class Coder:
                 m.clear()
         words = list(new)
         found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words]) if self.lexicon else [None] * len(words)
-        special = self.merger.special
-        for w, ids in zip(words, found, strict=True):
-            if ids is None:
-                ids = (special[w],) if w in special else self.merger.merge(w)
-            for memo, view in zip(self.memo, self.views, strict=True):
-                memo[w] = view(ids, self.merger)
+        special, merge = self.merger.special, self.merger.merge
+        known = [ids if ids is not None else ((special[w],) if w in special else merge(w)) for w, ids in zip(words, found, strict=True)]
+        for memo, view in zip(self.memo, self.views, strict=True):
+            memo.update(zip(words, [view(ids, self.merger) for ids in known], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[list[list]]:
         """For each text, for each view, the list of its words' values."""
         for a, b in small_batches(texts, 1_000_000):
             cut = [self.splitter.pieces(t) for t in texts[a:b]]
-            need: set[str] = set()
-            for words in cut:
-                need.update(words)
+            need = set(chain.from_iterable(cut))
             new = need.difference(self.memo[0])
             if new:
-                if len(self.memo[0]) + len(new) > MEMO_WORDS:
-                    new = need
-                self._learn(new)
+                self._learn(need if len(self.memo[0]) + len(new) > MEMO_WORDS else new)
             for words in cut:
                 yield [list(map(m.__getitem__, words)) for m in self.memo]
 
@@ -323,7 +333,19 @@ def token_text(ids: tuple[int, ...], m: Merger) -> str:
 
 
 def id_bytes(ids: tuple[int, ...], _: Merger) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_CODERS: dict[tuple, Coder] = {}
+
+
+def coder(tokenizer: str, lexicon: str, *views: Callable) -> Coder:
+    """A worker's coder; it lives on from task to task, so that words are resolved once a worker."""
+    key = (tokenizer, lexicon, *(v.__qualname__ for v in views))
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(tokenizer, SparkFiles.get(lexicon), list(views))
+    return _CODERS[key]
 
 
 # --- on Spark --------------------------------------------------------------------------------------
@@ -346,7 +368,7 @@ def ship_lexicon(spark: SparkSession, words: dict[str, tuple[int, ...]]) -> str:
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> list[str]:
-    """The ``n`` words that occur most often in all texts (ties by the word)."""
+    """The words that occur most often in all texts: as many whole classes of frequency as ``n`` words hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, counts = Splitter(tokenizer, []), Counter()
@@ -361,8 +383,16 @@ def frequent_words(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> l
             yield out()
 
     rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, "word string, n long")
-    top = rows.where(F.octet_length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
-    return [r.word for r in top.collect()]
+    totals = rows.where(F.octet_length("word") <= 64).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    totals = materialize(totals.withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    # A histogram of fixed size says how rare a word may be; so the driver gets n words at most, whatever the partitions.
+    left, least = n, None
+    for r in sorted(totals.groupBy("bin").agg(F.count("*").alias("k")).collect(), key=lambda r: -r.bin):
+        left -= r.k
+        if left < 0:
+            break
+        least = r.bin
+    return [] if least is None else [r.word for r in totals.where(F.col("bin") >= least).select("word").collect()]
 
 
 def corpus_lexicon(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> str:
@@ -402,10 +432,10 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer, SparkFiles.get(lexicon), [id_text, token_text])
+        own = coder(tokenizer, lexicon, id_text, token_text)
         for batch in batches:
             n, a, b = [], [], []
-            for ids, tokens in coder.encode(batch.column(1).to_pylist()):
+            for ids, tokens in own.encode(batch.column(1).to_pylist()):
                 line = " ".join(ids)
                 n.append(line.count(" ") + 1 if line else 0)
                 a.append(sha(line))

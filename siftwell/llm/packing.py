@@ -14,11 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.bpe import Coder, Merger, id_bytes, ship_lexicon
+from siftwell.llm.bpe import Merger, coder, id_bytes, ship_lexicon
 from siftwell.llm.common import materialize, read_table, text_or_empty
 
 SEQUENCE = 2048
@@ -129,11 +128,11 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, separator: int
     lexicon = ship_lexicon(spark, Merger(tokenizer).whole_words())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer, SparkFiles.get(lexicon), [id_bytes])
+        own = coder(tokenizer, lexicon, id_bytes)
         end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for i, (words,) in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
+            for i, (words,) in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
                 words.append(end)
                 raw = b"".join(words)
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
