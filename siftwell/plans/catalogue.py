@@ -1,9 +1,501 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each beside its SQL. Doubles are rounded to six places on both sides."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from siftwell.functions import chunking as ch
+from siftwell.functions import text as tx
+from siftwell.functions import vectors as vx
+from siftwell.operators import observe, prompts, ranking, rules, search, store
+from siftwell.session import ship
+from siftwell.streaming import telemetry
 
-def oracle_sql():
-    return {}
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+AS_OF = "2024-06-01 00:00:00"
+
+
+def _query(sql: str | None = None):
+    def add(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        _QUERIES[fn.__name__] = run
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# --- vectors and search ----------------------------------------------------------------------------
+
+
+def _vectors(t):
+    return t("embeddings").select("vec_id", vx.as_double(F.col("embedding")).alias("embedding"), "label")
+
+
+def _topk(t, ids: str, k: int, docs=None, **options):
+    v = _vectors(t)
+    q = v.where(ids).select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.top_k(q, docs if docs is not None else v, k, order="vec_id", **options).select("query_id", "rank", "vec_id", _r(F.col("score")).alias("score"))
+
+
+_COS = "list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[])"
+
+
+def _topk_sql(ids: str, k: int, where: str = "true", score: str = _COS, floor: str = "true") -> str:
+    return f"""SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
+        SELECT q.vec_id AS query_id, d.vec_id, {score} AS s FROM embeddings q, embeddings d WHERE q.{ids} AND {where})
+      WHERE {floor}) WHERE rank <= {k}"""
+
+
+@_query(_topk_sql("vec_id = 0", 10))
+def cosine_topk(t):
+    return _topk(t, "vec_id = 0", 10)
+
+
+@_query(_topk_sql("vec_id % 50 = 0", 5))
+def cosine_topk_batch(t):
+    return _topk(t, "vec_id % 50 = 0", 5)
+
+
+@_query(_topk_sql("vec_id = 0", 10, "d.label = 3"))
+def filtered_topk(t):
+    return _topk(t, "vec_id = 0", 10, _vectors(t).where("label = 3"))
+
+
+@_query(_topk_sql("vec_id = 1", 10, "d.label >= 2 AND d.label < 6"))
+def function_filter_topk(t):
+    return _topk(t, "vec_id = 1", 10, search.apply_filter(_vectors(t), lambda c: (c >= 2) & (c < 6), meta="label"))
+
+
+@_query(_topk_sql("vec_id = 2", 20, floor="s >= 0.1"))
+def min_score_search(t):
+    return _topk(t, "vec_id = 2", 20, min_score=0.1)
+
+
+@_query("SELECT vec_id, 0.0::DOUBLE AS zero_score, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS self_score FROM embeddings")
+def cosine_zero_guard(t):
+    zero = F.transform("embedding", lambda x: F.lit(0.0))
+    return _vectors(t).select("vec_id", vx.cosine(F.col("embedding"), zero).alias("zero_score"), _r(vx.cosine(F.col("embedding"), F.col("embedding"))).alias("self_score"))
+
+
+@_query(f"""SELECT query_id, count(*) FILTER (same) AS same_label, count(*) AS k FROM (
+  SELECT q.vec_id AS query_id, q.label = d.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, d.vec_id) AS rank
+  FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0) WHERE rank <= 10 GROUP BY query_id""")
+def knn_label_vote(t):
+    v = _vectors(t)
+    hits = search.top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 10, order="vec_id")
+    own = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    return hits.join(own, "query_id").groupBy("query_id").agg(F.count_if(F.col("own") == F.col("label")).alias("same_label"), F.count("*").alias("k"))
+
+
+_MRL = "list_transform(range(16), lambda i: list_avg(embedding[i * 4 + 1 : i * 4 + 4]::DOUBLE[]))"
+
+
+@_query(f"SELECT vec_id, list_transform(m, lambda x: round(x / sqrt(list_sum(list_transform(m, lambda y: y * y))), 5)) AS reduced FROM (SELECT vec_id, {_MRL} AS m FROM embeddings)")
+def mrl_reduce_16(t):
+    return _vectors(t).select("vec_id", F.transform(vx.mrl_reduce(F.col("embedding"), 16, 64), lambda x: F.round(x, 5)).alias("reduced"))
+
+
+@_query(f"""SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, d.vec_id, list_cosine_similarity(q.m, d.m) AS s FROM (SELECT vec_id, {_MRL} AS m FROM embeddings) q, (SELECT vec_id, {_MRL} AS m FROM embeddings) d
+  WHERE q.vec_id < 5)) WHERE rank <= 5""")
+def mrl_topk(t):
+    v = _vectors(t).withColumn("embedding", vx.mrl_reduce(F.col("embedding"), 16, 64))
+    hits = search.top_k(v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), v, 5, order="vec_id")
+    return hits.select("query_id", "rank", "vec_id", _r(F.col("score")).alias("score"))
+
+
+def _char_sql(text: str, dim: int) -> str:
+    return f"list_transform(range({dim}), lambda j: coalesce(list_sum(list_transform(range(j + 1, length({text}) + 1, {dim}), lambda p: unicode({text}[p])::DOUBLE)), 0.0))"
+
+
+@_query(f"SELECT doc_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 5)) AS embedding FROM (SELECT doc_id, {_char_sql('text', 8)} AS v FROM (SELECT doc_id, text[1:200] AS text FROM documents)) WHERE list_sum(v) > 0")
+def char_embed(t):
+    heads = t("documents").select("doc_id", F.substring("text", 1, 200).alias("text")).where("text <> ''")
+    return heads.select("doc_id", F.transform(vx.char_embed(F.col("text"), 8), lambda x: F.round(x, 5)).alias("embedding"))
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+_Q = "the latest stupid report"
+_TERMS = f"list_filter(string_split('{_Q}', ' '), lambda t: length(t) > 2)"
+_FOUND = f"list_filter({_TERMS}, lambda t: contains(lower(text), t))"
+
+
+@_query("SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: length(t) > 2) AS terms FROM conversations")
+def query_terms(t):
+    return t("conversations").select("conv_id", "turn", tx.query_terms(F.col("text")).alias("terms"))
+
+
+@_query(f"SELECT doc_id, {_FOUND} AS matched_terms, len({_FOUND}) AS match_count, round(len({_FOUND}) / len({_TERMS}), 6) AS match_ratio, 'Matched query with similarity score of 50.0%' AS reason FROM documents")
+def explain(t):
+    rows = search.with_explanation(t("documents").withColumn("query", F.lit(_Q)).withColumn("score", F.lit(0.5)))
+    e = "explanation."
+    return rows.select("doc_id", F.col(e + "matchedTerms").alias("matched_terms"), F.col(e + "matchCount").alias("match_count"), _r(F.col(e + "matchRatio")).alias("match_ratio"), F.col(e + "reason").alias("reason"))
+
+
+@_query(f"SELECT doc_id, round(len({_FOUND}) / len({_TERMS}), 6) AS keyword_match FROM documents")
+def keyword_match(t):
+    return t("documents").select("doc_id", _r(ranking.keyword_match(F.lit(_Q), F.col("text"))).alias("keyword_match"))
+
+
+@_query("SELECT page_id, regexp_extract_all(html, 'href=\"(.*?)\"', 1) AS links, regexp_extract_all('<loc>' || url || '</loc>', '<loc>(.*?)</loc>', 1) AS locs FROM pages")
+def sitemap_locs(t):
+    return t("pages").select("page_id", F.regexp_extract_all("html", F.lit('href="(.*?)"'), F.lit(1)).alias("links"), tx.sitemap_locs(F.concat(F.lit("<loc>"), "url", F.lit("</loc>"))).alias("locs"))
+
+
+def _nested(text: str, steps) -> str:
+    for pattern, to in steps:
+        flags = "g" + ("is" if "(?is)" in pattern else "i" if "(?i)" in pattern else "") + ("m" if "(?m)" in pattern else "")
+        plain = pattern.replace("(?is)", "").replace("(?i)", "").replace("(?m)", "(?m)").replace("'", "''")
+        text = f"regexp_replace({text}, '{plain}', '{to.replace('$1', chr(92) + '1').replace(chr(39), chr(39) * 2)}', '{flags.replace('m', '')}')".replace("\\n\\n', '", "\\n\\n', '")
+    return text
+
+
+_HTML = [(p, to if to != "\n\n" else "@@") for p, to in tx.HTML_STEPS]
+
+
+@_query("SELECT page_id, regexp_replace(" + _nested("html", _HTML).replace("'@@'", "chr(10) || chr(10)") + r", '^\s+|\s+$', '', 'g') AS text FROM pages")
+def html_to_text(t):
+    return t("pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+
+
+_MD = "'# Title ' || doc_id || chr(10) || '**bold** and *it* `c' || '` [l](http://x) ' || text"
+
+
+@_query("SELECT doc_id, " + _nested(f"({_MD})", [s for s in tx.MARKDOWN_STEPS if "```" not in s[0]]) + " AS text FROM documents")
+def strip_markdown(t):
+    md = F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n**bold** and *it* `c` [l](http://x) "), F.col("text"))
+    return t("documents").select("doc_id", tx.strip_markdown(md).alias("text"))
+
+
+@_query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(lower(text[1:100]), '^\\s+|\\s+$', '', 'g') ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
+def dedup_fingerprint(t):
+    w = W.partitionBy(tx.fingerprint(F.col("text"))).orderBy("doc_id")
+    return t("documents").withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id")
+
+
+@_query("""SELECT event_type, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(event_type, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c + 2147483648 + 4294967296 * 32) % 4294967296 - 2147483648) AS hash, count(*) AS n FROM events GROUP BY event_type""")
+def hash32(t):
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", tx.hash32(F.col("event_type")).alias("hash"), "n")
+
+
+# --- chunks ----------------------------------------------------------------------------------------
+
+
+@_query("""SELECT doc_id, i // 450 AS chunk_index, regexp_replace(text[i + 1 : i + 500], '^\\s+|\\s+$', '', 'g') AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS i FROM documents WHERE length(text) > 0)""")
+def chunk_windows(t):
+    return t("documents").where("length(text) > 0").select("doc_id", F.posexplode(ch.windows(F.col("text"), 500, 450)).alias("chunk_index", "chunk"))
+
+
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1|', 'g'), '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+@_query(f"""WITH s AS (SELECT doc_id, text, {_SENT} AS s FROM documents WHERE text <> ''), c AS (
+  SELECT doc_id, CASE WHEN len(s) <= 5 THEN [text] ELSE list_transform(list_filter(range(0, len(s), 4), lambda i: i = 0 OR i - 4 + 5 < len(s)), lambda i: array_to_string(s[i + 1 : i + 5], ' ')) END AS c FROM s)
+  SELECT doc_id, unnest(range(len(c))) AS chunk_index, unnest(c) AS chunk FROM c""")
+def chunk_sentences(t):
+    return t("documents").select("doc_id", F.posexplode(ch.chunk_sentences(F.col("text"))).alias("chunk_index", "chunk"))
+
+
+_PACK = """SELECT doc_id, text, list_reduce(list_prepend({'cur': '', 'out': []::VARCHAR[]}, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: {'cur': x, 'out': []::VARCHAR[]})),
+  lambda a, x: CASE WHEN length(x.cur) > 500 THEN {'cur': '', 'out': list_concat(CASE WHEN trim(a.cur) <> '' THEN list_append(a.out, trim(a.cur)) ELSE a.out END,
+      list_transform(range(0, length(x.cur), 450), lambda i: trim(x.cur[i + 1 : i + 500])))}
+    WHEN length(a.cur) + length(x.cur) + 1 <= 500 THEN {'cur': CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || chr(10) || x.cur END, 'out': a.out}
+    ELSE {'cur': x.cur, 'out': CASE WHEN trim(a.cur) <> '' THEN list_append(a.out, trim(a.cur)) ELSE a.out END} END) AS st FROM documents WHERE text <> ''"""
+_PACKED = f"SELECT doc_id, CASE WHEN length(text) <= 500 THEN [text] WHEN trim(st.cur) <> '' THEN list_append(st.out, trim(st.cur)) ELSE st.out END AS c FROM ({_PACK})"
+
+
+@_query(f"SELECT doc_id, unnest(range(len(c))) AS chunk_index, unnest(c) AS chunk FROM ({_PACKED})")
+def chunk_text(t):
+    return t("documents").select("doc_id", F.posexplode(ch.chunk_text(F.col("text"), 500, 50, "\n")).alias("chunk_index", "chunk"))
+
+
+@_query(f"SELECT doc_id::VARCHAR || '_chunk_' || chunk_index AS chunk_id, doc_id AS original_id, chunk_index, n AS total_chunks, source FROM (SELECT p.doc_id, d.source, len(c) AS n, unnest(range(len(c))) AS chunk_index FROM ({_PACKED}) p JOIN documents d USING (doc_id))")
+def chunk_documents_meta(t):
+    out = ch.chunk_documents(t("documents"), "doc_id", size=500, overlap=50, separator="\n")
+    return out.select("chunk_id", "original_id", "chunk_index", "total_chunks", "source")
+
+
+@_query(f"SELECT count(*) AS chunks, max(length(x)) AS longest, round(avg(length(x)), 6) AS mean_length FROM (SELECT unnest(c) AS x FROM ({_PACKED}))")
+def chunk_stats(t):
+    rows = t("documents").select(F.explode(ch.chunk_text(F.col("text"), 500, 50, "\n")).alias("x"))
+    return rows.agg(F.count("*").alias("chunks"), F.max(F.length("x")).alias("longest"), _r(F.avg(F.length("x"))).alias("mean_length"))
+
+
+# --- ranking ---------------------------------------------------------------------------------------
+
+_KINDS = ["official docs", "Documentation", "research lab", "my blog", "tutorial", "forum", "social", "else"]
+_SRC = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+_QUAL = "CASE " + " ".join(f"WHEN contains(lower(src), '{p}') THEN {v}" for p, v in ranking.SOURCE_QUALITY) + " ELSE 0.5 END"
+_DAY = "(TIMESTAMP '2024-06-01' - to_days((doc_id % 700)::INT))"
+_REC = "greatest(0.1, exp(-((doc_id % 700)::DOUBLE) / 180))"
+
+
+def _candidates(t):
+    src = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    day = F.date_format(F.expr("timestampadd(DAY, -cast(doc_id % 700 as int), timestamp'2024-06-01 00:00:00')"), "yyyy-MM-dd HH:mm:ss")
+    return t("documents").select("doc_id", "text", src.alias("source"), day.alias("date"), (F.col("doc_id") % 97 / 96.0).alias("score"))
+
+
+@_query(f"SELECT doc_id, {_QUAL}::DOUBLE AS quality FROM (SELECT doc_id, {_SRC} AS src FROM documents)")
+def source_quality(t):
+    return _candidates(t).select("doc_id", ranking.source_quality(F.col("source")).alias("quality"))
+
+
+@_query(f"SELECT doc_id, round({_REC}, 6) AS recency FROM documents")
+def recency(t):
+    return _candidates(t).select("doc_id", _r(ranking.recency(F.col("date"), F.lit(AS_OF).cast("timestamp"))).alias("recency"))
+
+
+_BASE = f"SELECT doc_id, text, src, (doc_id % 97) / 96.0::DOUBLE AS score, len({_FOUND}) / len({_TERMS}) AS kw, {_REC} AS rec, {_QUAL}::DOUBLE AS q FROM (SELECT *, {_SRC} AS src FROM documents)"
+_WEIGHTED = f"SELECT *, 0.5 * score + 0.2 * kw + 0.15 * rec + 0.1 * q + 0.05 * 0.5 AS weighted FROM ({_BASE})"
+
+
+def _scored(t):
+    rows = _candidates(t)
+    return ranking.score(
+        rows,
+        {
+            "semanticSimilarity": F.col("score"), "keywordMatch": ranking.keyword_match(F.lit(_Q), F.col("text")), "recency": ranking.recency(F.col("date"), F.lit(AS_OF).cast("timestamp")),
+            "sourceQuality": ranking.source_quality(F.col("source")), "contextRelevance": F.lit(0.5),
+        },
+    )
+
+
+@_query(f"SELECT doc_id, round(weighted, 6) AS weighted_score FROM ({_WEIGHTED})")
+def weighted_score(t):
+    return _scored(t).select("doc_id", _r(F.col("weighted_score")).alias("weighted_score"))
+
+
+@_query(f"SELECT doc_id, round(0.5 * score, 6) AS semantic, round(0.2 * kw, 6) AS keyword, round(0.15 * rec, 6) AS recent, round(0.1 * q, 6) AS quality, 0.025::DOUBLE AS context FROM ({_BASE})")
+def score_breakdown(t):
+    names = {"semanticSimilarity": "semantic", "keywordMatch": "keyword", "recency": "recent", "sourceQuality": "quality", "contextRelevance": "context"}
+    return _scored(t).select("doc_id", *(_r(F.col(f"score_breakdown.{k}.contribution")).alias(v) for k, v in names.items()))
+
+
+@_query("""SELECT doc_id, final_rank FROM (SELECT doc_id, row_number() OVER (ORDER BY round(weighted, 9) DESC, doc_id) AS final_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(text[1:100]), '^\\s+|\\s+$', '', 'g') ORDER BY round(weighted, 9) DESC, doc_id) AS n FROM (""" + _WEIGHTED + ")) WHERE n = 1) WHERE final_rank <= 20")
+def smart_retrieval(t):
+    rows = _scored(t).withColumn("weighted_score", F.round("weighted_score", 9)).withColumn("query_id", F.lit(0)).withColumn("rank", F.col("doc_id"))
+    best = ranking.remove_duplicates(rows)
+    # One query, so the best are taken by a heap in each task; a window would bring all rows to one.
+    top = best.orderBy(F.desc("weighted_score"), "rank").limit(20)
+    return top.withColumn("final_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weighted_score"), "rank"))).select("doc_id", "final_rank")
+
+
+@_query(f"SELECT doc_id FROM ({_BASE}) WHERE NOT (regexp_matches(lower(src), 'social|forum|comment') AND score < 0.6)")
+def critical_filter(t):
+    return ranking.drop_low_quality(_candidates(t)).select("doc_id")
+
+
+@_query(f"SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'idiot') AS boosted, round(CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'idiot') THEN least(1.0, score + 0.05 * (contains(lower(text), 'the')::INT + contains(lower(text), 'idiot')::INT)) ELSE score END, 6) AS score FROM ({_BASE})")
+def pattern_boost(t):
+    return ranking.boost(_candidates(t), ["the", "idiot"]).select("doc_id", "boosted", _r(F.col("score")).alias("score"))
+
+
+# --- rules and history -----------------------------------------------------------------------------
+
+
+@_query("SELECT conv_id, turn, regexp_matches(text, '\\b(latest|new|recent|current|today)\\b', 'i') AS news, len(string_split(text, ' ')) = 1 AS short, regexp_matches(text, '\\b(code|api|function|error|bug)\\b', 'i') AS technical FROM conversations")
+def query_rules(t):
+    return t("conversations").select("conv_id", "turn", *rules.query_flags(F.col("text")))
+
+
+def _history(t):
+    c = t("conversations").where("role = 'user'")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("query"), (F.col("conv_id") % 6).cast("int").alias("feedback"), F.size(F.split("text", " ", -1)).alias("query_length"), (F.col("turn") % 10 / 10.0).alias("avg_score"))
+
+
+_HIST = "SELECT conv_id * 1000 + turn AS seq, text AS query, (conv_id % 6)::INT AS feedback, len(string_split(text, ' ')) AS query_length, (turn % 10) / 10.0::DOUBLE AS avg_score FROM conversations WHERE role = 'user'"
+
+
+@_query(f"""SELECT term, count(*) AS n FROM (SELECT seq, unnest(range(len(w))) AS p, unnest(w) AS term FROM (SELECT seq, string_split(query, ' ') AS w FROM ({_HIST}) WHERE feedback >= 4))
+  WHERE (SELECT count(*) > 10 FROM ({_HIST}) WHERE feedback >= 4) GROUP BY term HAVING count(*) >= 3 ORDER BY n DESC, min({{'o': seq, 'p': p}}) LIMIT 10""")
+def pattern_mining(t):
+    return rules.mine_patterns(_history(t))
+
+
+@_query(f"SELECT seq, query_length FROM ({_HIST}) ORDER BY seq DESC LIMIT 100")
+def history_last_100(t):
+    return rules.bounded_history(_history(t), [F.col("seq")]).select("seq", "query_length")
+
+
+@_query(f"SELECT count(*) AS total_queries, round(avg(query_length), 2) AS avg_query_length, round(avg(avg_score), 3) AS avg_score, round(coalesce(avg(CASE WHEN feedback > 0 THEN feedback END), 0.0), 2) AS avg_rating, count(CASE WHEN feedback > 0 THEN 1 END) AS rated FROM ({_HIST})")
+def insights(t):
+    return rules.insights(_history(t))
+
+
+@_query(f"SELECT count(*) FILTER (query_length <= 2 AND avg_score < 0.6) > 5 AS expand_short_queries FROM ({_HIST})")
+def short_query_rule(t):
+    return rules.too_many_short(_history(t))
+
+
+# --- store -----------------------------------------------------------------------------------------
+
+
+def _stored(t):
+    return t("documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("seq"))
+
+
+@_query("""SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id ELSE doc_id END::VARCHAR AS id, CASE WHEN doc_id % 10 = 0 THEN 'new ' || doc_id ELSE text END AS text, doc_id AS seq FROM documents
+  UNION ALL SELECT 'x1', 'late', (SELECT max(doc_id) FROM documents) + 1 + 9000000""")
+def upsert(t):
+    spark = t("documents").sparkSession
+    changed = _stored(t).where("seq % 10 = 0").select("id", F.concat(F.lit("new "), "id").alias("text"), F.col("seq").alias("batch_seq"))
+    more = spark.createDataFrame([("x1", "early", 9000000), ("x1", "late", 9000001)], "id string, text string, batch_seq long")
+    return store.upsert(_stored(t), changed.unionByName(more))
+
+
+@_query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE text END AS text, lang, CASE WHEN doc_id % 7 = 0 THEN 'b' END AS extra FROM documents")
+def update_merge(t):
+    docs = t("documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("meta"))
+    change = t("documents").where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("id"), F.lit("changed").alias("text"), F.create_map(F.lit("extra"), F.lit("b")).alias("meta"))
+    out = store.update(docs, change)
+    return out.select("id", "text", F.col("meta")["lang"].alias("lang"), F.col("meta")["extra"].alias("extra"))
+
+
+@_query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id % 3 <> 0")
+def delete(t):
+    return store.delete(_stored(t), _stored(t).where("seq % 3 = 0")).select("id")
+
+
+@_query("SELECT doc_id::VARCHAR AS id FROM documents ORDER BY doc_id LIMIT 100 OFFSET 50")
+def page(t):
+    return store.page(_stored(t), 100, 50).select("id")
+
+
+@_query("SELECT doc_id::VARCHAR AS id, text, doc_id AS seq FROM documents WHERE doc_id = 7")
+def get_document(t):
+    return _stored(t).where("id = '7'").limit(1)
+
+
+@_query("SELECT count(*) AS count, 64 AS dimension FROM embeddings")
+def stats(t):
+    return store.stats(_vectors(t), "vec_id")
+
+
+# --- prompts ---------------------------------------------------------------------------------------
+
+
+def _hits(t):
+    docs = t("documents").where("doc_id < 300")
+    return docs.select((F.col("doc_id") % 60).alias("query_id"), F.floor(F.col("doc_id") / 60 + 1).cast("int").alias("rank"), (F.col("doc_id") % 97 / 97.0).alias("score"), F.substring("text", 1, 80).alias("text"), F.concat(F.lit("q"), (F.col("doc_id") % 60).cast("string")).alias("query"), F.create_map(F.lit("source"), "source").alias("meta"))
+
+
+_ONE = "'Doc ' || (doc_id // 60 + 1)::INT || ' (score: ' || printf('%.3f', (doc_id % 97) / 97.0::DOUBLE) || ') [source=' || source || ']:' || chr(10) || text[1:80]"
+_CTX = f"SELECT doc_id % 60 AS query_id, string_agg({_ONE}, chr(10) || chr(10) ORDER BY doc_id) AS context FROM documents WHERE doc_id < 300 GROUP BY 1"
+
+
+@_query(_CTX)
+def context_concat(t):
+    return prompts.context(_hits(t), scores=True, meta="meta")
+
+
+def _prompt(name: str) -> None:
+    def make(t):
+        ctx = prompts.context(_hits(t), scores=True, meta="meta").withColumn("query", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+        return prompts.PromptManager(name, system="Be exact.").generate(ctx).select("query_id", "prompt")
+
+    make.__name__ = f"prompt_{name}"
+    text = prompts.TEMPLATES[name].replace("'", "''").replace("\n", "' || chr(10) || '")
+    filled = "'" + text.replace("{c}", "' || context || '").replace("{q}", "' || 'q' || query_id || '") + "'"
+    _query(f"SELECT query_id, 'Be exact.' || chr(10) || chr(10) || {filled} AS prompt FROM ({_CTX})")(make)
+
+
+for _name in prompts.TEMPLATES:
+    _prompt(_name)
+
+
+# --- events ----------------------------------------------------------------------------------------
+
+
+@_query("SELECT event_type, count(*) AS total, round(sum(coalesce(value, 0)) / count(*), 2) AS avg_value, round(sum(coalesce(value, 0)), 2) AS sum_value FROM events GROUP BY event_type")
+def metrics_summary(t):
+    return observe.metrics_summary(t("events"), "event_type", "value")
+
+
+@_query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def event_counts(t):
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT user_id, count(*) AS total, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY user_id")
+def session_summary(t):
+    return observe.session_summary(t("events"), "user_id").select("user_id", "total", "duration_us", F.coalesce(F.col("counts")["click"], F.lit(0)).alias("clicks"))
+
+
+@_query("SELECT event_id FROM events WHERE ts BETWEEN (SELECT min(ts) FROM events) + INTERVAL 1 DAY AND (SELECT min(ts) FROM events) + INTERVAL 3 DAY")
+def events_in_range(t):
+    e = t("events")
+    first = F.broadcast(e.agg(F.min("ts").alias("first")))
+    return e.join(first).where("ts BETWEEN first + INTERVAL 1 DAY AND first + INTERVAL 3 DAYS").select("event_id")
+
+
+@_query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running_avg FROM events")
+def running_avg(t):
+    return rules.running_average(t("events"), "value", ["ts", "event_id"], ["user_id"]).select("event_id", F.round("running_avg", 9).alias("running_avg"))
+
+
+@_query("SELECT event_id, event_id || ',' || event_type || ',' || props AS line FROM events")
+def telemetry_csv(t):
+    return t("events").select("event_id", observe.telemetry_csv(F.col("event_id").cast("string"), F.col("event_type"), F.col("props")).alias("line"))
+
+
+@_query("SELECT event_id FROM events WHERE (props->>'$.k')::BIGINT = 5")
+def json_meta_filter(t):
+    return search.apply_filter(t("events").withColumn("meta", F.parse_json("props")), {"k": 5}).select("event_id")
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def windowed_counts(t):
+    return telemetry.windowed_counts(t("events")).withColumn("value", F.round("value", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# --- conversations and browsing --------------------------------------------------------------------
+
+
+@_query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, round(avg(length(text)), 6) AS mean_length FROM conversations GROUP BY conv_id")
+def conversation_summary(t):
+    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"), _r(F.avg(F.length("text"))).alias("mean_length"))
+
+
+@_query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def conversation_export(t):
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("x"))))
+    return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda s: s["x"]), "\n").alias("transcript"))
+
+
+@_query("SELECT DISTINCT lang AS category FROM documents WHERE lang <> ''")
+def distinct_categories(t):
+    return t("documents").where("lang <> ''").select(F.col("lang").alias("category")).distinct()
+
+
+@_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND lang = 'en' AND source = 'src1'")
+def doc_browser_filter(t):
+    return t("documents").where(F.lower("text").contains("license") & (F.col("lang") == "en") & (F.col("source") == "src1")).select("doc_id")
+
+
+@_query("SELECT coalesce(nullif(lang, ''), 'unknown') AS kind, count(*) AS n FROM documents GROUP BY 1")
+def type_distribution(t):
+    return t("documents").groupBy(F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("kind")).agg(F.count("*").alias("n"))
