@@ -21,6 +21,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 400
+
 
 def session(name: str = "siftwell", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
@@ -32,7 +34,13 @@ def session(name: str = "siftwell", master: str | None = None, **settings: str)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once a session (a zip that Spark hands out)."""
+    """Make this package importable in Python workers, once a session (a zip that Spark hands out).
+
+    Rows here are whole texts, so Arrow batches of Spark's default number of rows would fill the workers'
+    and the executors' memory; a session that has not chosen a number gets a smaller one.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     root = Path(__file__).resolve().parent
     buffer, digest = io.BytesIO(), hashlib.sha256()
     with zipfile.ZipFile(buffer, "w") as z:
