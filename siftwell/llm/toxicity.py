@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,36 +94,44 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
         model.bias[1] = np.log(p / (1 - p))
         return model
     number: dict[str, int] = {}
-    words, seg_start, doc_start = [], [], []
+    # Flat arrays throughout: this runs on the driver.
+    words, seg_start, doc_start = array("i"), array("i"), array("i")
     for t in texts:
-        ids = [number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())] or [number.setdefault("", len(number))]
+        ids = array("i", [number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())] or [number.setdefault("", len(number))])
         doc_start.append(len(seg_start))
         for a in range(0, max(1, len(ids) - SEGMENT // 2), SEGMENT // 2):
             seg_start.append(len(words))
-            words += ids[a : a + SEGMENT]
-    word, seg_start, doc_start = np.array(words, np.int32), np.array(seg_start), np.array(doc_start)
+            words.extend(ids[a : a + SEGMENT])
+    word, seg_start, doc_start = (np.frombuffer(x, np.int32) for x in (words, seg_start, doc_start))
     seg_len = np.diff(np.append(seg_start, len(word)))
     of_seg = np.repeat(np.arange(len(seg_start), dtype=np.int32), seg_len)
-    of_doc = np.repeat(np.arange(len(doc_start)), np.diff(np.append(doc_start, len(seg_start))))
-    bags = [np.unique(grams(w)) for w in number]
+    of_doc = np.repeat(np.arange(len(doc_start), dtype=np.int32), np.diff(np.append(doc_start, len(seg_start))))
+    flat, sizes = array("i"), array("i")
+    for w in number:
+        bag = grams(w)
+        flat.extend(bag)
+        sizes.append(len(bag))
+    gram, bag_len = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32)
+    bag_start = np.append(0, np.cumsum(bag_len))
     in_texts = np.zeros(BUCKETS, np.int32)
-    for d, a in enumerate(doc_start):
-        z = doc_start[d + 1] if d + 1 < len(doc_start) else len(seg_start)
-        own = np.unique(word[seg_start[a] : seg_start[z] if z < len(seg_start) else len(word)])
-        in_texts[np.unique(np.concatenate([bags[w] for w in own]))] += 1
+    seg_end, doc_end = np.append(seg_start[1:], len(word)), np.append(doc_start[1:], len(seg_start))
+    for a, z in zip(doc_start, doc_end, strict=True):
+        own = np.unique(word[seg_start[a] : seg_end[z - 1]])
+        in_texts[np.unique(np.concatenate([gram[bag_start[w] : bag_start[w + 1]] for w in own]))] += 1
     model.known = in_texts >= min(LEAST_TEXTS, 1 + len(texts) // 20)
-    bags = [np.array(b)[model.known[b]] for b in map(grams, number)]
-    bag_len = np.array([len(b) for b in bags])
-    gram = np.concatenate(bags).astype(np.int32)
-    of_bag = np.repeat(np.arange(len(bags), dtype=np.int32), bag_len)
-    bag_len = np.maximum(bag_len, 1)
+    use = model.known[gram]
+    of_bag = np.repeat(np.arange(len(bag_len), dtype=np.int32), bag_len)[use]
+    gram = gram[use]
+    bags = len(bag_len)
+    bag_len = np.maximum(np.bincount(of_bag, minlength=bags), 1)
+    del number, flat
     y = np.array(labels, np.float32)
     have = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, tilt * counts[1] / have[1], counts[0] / have[0]) / total
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.embedding, model.softmax, model.bias)]
     for step in range(1, rounds + 1):
         theta = model.softmax[:, 1] - model.softmax[:, 0]
-        by_word = np.bincount(of_bag, (model.embedding @ theta)[gram], len(bags)) / bag_len
+        by_word = np.bincount(of_bag, (model.embedding @ theta)[gram], bags) / bag_len
         margin = np.add.reduceat(by_word[word], seg_start) / seg_len + model.bias[1] - model.bias[0]
         if step <= warm:
             pull = (1 / (1 + np.exp(-margin)) - y[of_doc]) * (weight / np.bincount(of_doc))[of_doc]
@@ -133,7 +142,7 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
             np.minimum.at(first, of_doc[hit], hit)
             pull = np.zeros(len(margin))
             pull[first] = (1 / (1 + np.exp(-top)) - y) * weight
-        on_word = np.bincount(word, (pull / seg_len)[of_seg], len(bags))
+        on_word = np.bincount(word, (pull / seg_len)[of_seg], bags)
         on_gram = np.bincount(gram, (on_word / bag_len)[of_bag], BUCKETS).astype(np.float32)
         on_theta = on_gram @ model.embedding + 1e-5 * theta
         slope = [on_gram[:, None] * theta + decay * model.embedding, np.stack([-on_theta, on_theta], 1), np.array([-pull.sum(), pull.sum()], np.float32)]
