@@ -38,6 +38,9 @@ MEMO_WORDS = 900_000
 #: Distinct words that a worker counts before it hands the counts on.
 COUNT_WORDS = 400_000
 
+#: Words of at most so many bytes are merged together; a longer one by itself.
+TOGETHER = 48
+
 _NEVER = 1 << 62
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -74,6 +77,7 @@ class Merger:
         self.first = [self.vocab[c] for c in self.alphabet]
         self.last = [self.vocab[c + self.suffix] for c in self.alphabet]
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self._ordered: tuple[np.ndarray, ...] | None = None
 
     def whole_words(self) -> dict[str, tuple[int]]:
         """The vocabulary's own whole words: those that the merges turn into one token."""
@@ -92,7 +96,7 @@ class Merger:
     def merge(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogatepass")
         last = self.last[raw[-1]]
-        if len(raw) > 48:
+        if len(raw) > TOGETHER:
             return tuple(self._long([*map(self.first.__getitem__, raw[:-1]), last]))
         ids = [self.first[b] for b in raw]
         ids[-1] = last
@@ -112,6 +116,84 @@ class Merger:
                 pairs[i] = get(token * base + ids[i + 1], _NEVER)
         return tuple(ids)
 
+    def merge_all(self, words: list[str]) -> list[tuple[int, ...]]:
+        """``merge`` of each word; words of similar length take their merges in step, one each a round."""
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
+        lens = np.array([*map(len, raws)], np.int64)
+        out: list[tuple[int, ...]] = [()] * len(words)
+        for k in np.flatnonzero(lens > TOGETHER).tolist():
+            out[k] = self.merge(words[k])
+        least = 0
+        for most in (6, 9, 12, 16, 24, TOGETHER):
+            rows = np.flatnonzero((lens > least) & (lens <= most))
+            least = most
+            for a in range(0, len(rows), 4096):
+                part = rows[a : a + 4096]
+                flat, ends = self._in_step([raws[k] for k in part], lens[part])
+                at = 0
+                for k, end in zip(part.tolist(), ends, strict=True):
+                    out[k] = tuple(flat[at:end])
+                    at = end
+        return out
+
+    def _in_step(self, raws: list[bytes], lens: np.ndarray) -> tuple[list[int], list[int]]:
+        """The ids of all words in a row, and where each word ends.
+
+        A column is a word, a line a byte of it. ``order`` holds for the pair that starts there its rank and
+        its line, so that a column's least value is the leftmost pair of the best rank.
+        """
+        if self._ordered is None:
+            packed = np.array(sorted(self.ranks.items()), np.int64).reshape(-1, 2)
+            pairs, ranks = packed[:, 0], packed[:, 1] // self.base
+            becomes = np.zeros(int(ranks.max(initial=0)) + 1, np.int64)
+            becomes[ranks] = packed[:, 1] % self.base
+            # The token past either end is ``base``: no pair holds it.
+            pairs = pairs // self.base * (self.base + 1) + pairs % self.base
+            self._ordered = np.append(pairs, _NEVER), np.append(ranks, 0).astype(np.int32), becomes.astype(np.int32)
+        pairs, ranks, becomes = self._ordered
+        wide, never = self.base + 1, np.int32(np.iinfo(np.int32).max)
+
+        def rank(left: np.ndarray, right: np.ndarray, line: np.ndarray) -> np.ndarray:
+            key = left * np.int64(wide) + right
+            at = np.searchsorted(pairs, key)
+            return np.where(pairs[at] == key, ranks[at] * 64 + line, never)
+
+        high, n = int(lens.max()), len(raws)
+        spelled = np.zeros((n, high), np.uint8)
+        inside = np.arange(high) < lens[:, None]
+        spelled[inside] = np.frombuffer(b"".join(raws), np.uint8)
+        # Lines 1 to high are the bytes; 0 and high + 1 lie past the ends.
+        ids = np.full((high + 2, n), self.base, np.int32)
+        ids[1:-1] = np.where(inside, np.array(self.first)[spelled], self.base).T
+        ids[lens, np.arange(n)] = np.array(self.last)[spelled[np.arange(n), lens - 1]]
+        order = np.full((high + 2, n), never)
+        order[1:-2] = rank(ids[1:-2], ids[2:-1], np.arange(1, high, dtype=np.int32)[:, None])
+        before = np.repeat(np.arange(-1, high + 1, dtype=np.int32)[:, None], n, 1)
+        after = before + 2
+        done, live = np.empty((high, n), np.int32), np.arange(n)
+        while len(live):
+            best = order.min(0)
+            going = best != never
+            if np.count_nonzero(going) < 0.7 * len(live):
+                done[:, live[~going]] = ids[1:-1, ~going]
+                ids, order, before, after, live, best = ids[:, going], order[:, going], before[:, going], after[:, going], live[going], best[going]
+                going = np.ones(len(live), bool)
+            col = np.flatnonzero(going)
+            if not len(col):
+                continue
+            i = best[col] & 63
+            token = becomes[best[col] >> 6]
+            gone = after[i, col]
+            nxt, prev = after[gone, col], before[i, col]
+            ids[i, col], ids[gone, col] = token, -1
+            order[gone, col] = never
+            after[i, col], before[nxt, col] = nxt, i
+            order[i, col] = rank(token, ids[nxt, col], i)
+            order[prev, col] = rank(ids[prev, col], token, prev)
+        done = done.T
+        kept = (done >= 0) & (done != self.base)
+        return done[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+
     def _long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list: a word may be a whole text."""
         n, ranks = len(ids), self.ranks
@@ -307,8 +389,11 @@ class Coder:
                 m.clear()
         words = list(new)
         found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words]) if self.lexicon else [None] * len(words)
-        special, merge = self.merger.special, self.merger.merge
-        known = [ids if ids is not None else ((special[w],) if w in special else merge(w)) for w, ids in zip(words, found, strict=True)]
+        special = self.merger.special
+        known = [(special[w],) if ids is None and w in special else ids for w, ids in zip(words, found, strict=True)]
+        lacking = [k for k, ids in enumerate(known) if ids is None]
+        for k, ids in zip(lacking, self.merger.merge_all([words[k] for k in lacking]), strict=True):
+            known[k] = ids
         for memo, view in zip(self.memo, self.views, strict=True):
             memo.update(zip(words, [view(ids, self.merger) for ids in known], strict=True))
 
@@ -397,7 +482,8 @@ def frequent_words(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> l
 
 def corpus_lexicon(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> str:
     m = Merger(tokenizer)
-    return ship_lexicon(docs.sparkSession, {w: m.merge(w) for w in frequent_words(docs, tokenizer, n)})
+    words = frequent_words(docs, tokenizer, n)
+    return ship_lexicon(docs.sparkSession, dict(zip(words, m.merge_all(words), strict=True)))
 
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str, id_col: str = "doc_id") -> DataFrame:
