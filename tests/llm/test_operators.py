@@ -51,6 +51,14 @@ def test_bpe(docs, empty):
     assert bpe.digests(empty, TOKENIZER, bpe.corpus_lexicon(empty, TOKENIZER)).count() == 0
 
 
+def test_words_merged_together_are_those_merged_alone():
+    m, r = bpe.Merger(TOKENIZER), random.Random(5)
+    words = ["".join(r.choice("abcetoßéя日😀-9") for _ in range(r.randint(1, 60))) for _ in range(3000)]
+    words += ["a", "a" * 48, "a" * 49, "é" * 24, "tokenization", "tokenization", "x" * 5000]
+    assert m.merge_all(words) == [m.merge(w) for w in words]
+    assert m.merge_all([]) == []
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     words = {w: (i, i + 1) for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops", "é"])}
     bpe.compile_lexicon(words, str(tmp_path / "l"))
