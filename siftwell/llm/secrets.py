@@ -24,15 +24,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs of hexadecimal digits are cut by nothing but other characters
 _HINTS = ("passw", "secret", "token", "api")
 
-#: Kinds in the order of results. The first three are the base; the others are our additions.
+#: Kinds in the order of results. The first three are the base; the others are our additions, with hints of which
+#: every match of the pattern holds one.
 KINDS = ("assign", "access", "hex", "private_key", "web_token", "prefixed")
 _MORE = {
-    "private_key": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), "PRIVATE KEY-----"),
-    "web_token": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), "eyJ"),
-    "prefixed": (re.compile(r"(?:gh[opsur]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"), "_"),
+    "private_key": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("PRIVATE KEY-----",)),
+    "web_token": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), ("eyJ",)),
+    "prefixed": (re.compile(r"(?:gh[opsur]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"), ("_", "xox")),
 }
-#: Changes with the rules above.
-RULES = hashlib.sha256("\n".join([_ASSIGN.pattern, _ACCESS.pattern, _HEX.pattern, *(p.pattern for p, _ in _MORE.values())]).encode()).hexdigest()[:16]
+#: Changes with the rules above, the hints too: a text that a hint passed over counts as scanned.
+RULES = hashlib.sha256("\n".join([_ASSIGN.pattern, _ACCESS.pattern, _HEX.pattern, *_HINTS, *(x for p, hints in _MORE.values() for x in (p.pattern, *hints))]).encode()).hexdigest()[:16]
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -45,8 +46,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for k, name in enumerate(KINDS[3:], 3):
-        pattern, hint = _MORE[name]
-        if hint in text:
+        pattern, hints = _MORE[name]
+        if any(h in text for h in hints):
             found += [(m.start(), k, m.end()) for m in pattern.finditer(text)]
     found.sort()
     return [(KINDS[k], a, b) for a, k, b in found]

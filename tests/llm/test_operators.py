@@ -221,6 +221,16 @@ def test_secrets(spark, docs, empty):
     assert secrets.report(empty).count() == 0
 
 
+def test_tokens_without_an_underscore_are_found(spark):
+    token = "xoxb-123456789012-AbCdEfGhIjKl"
+    docs = spark.createDataFrame([(1, f"use {token} here"), (2, "nothing at all")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert got == {1: f"prefixed:4:{4 + len(token)}", 2: ""}
+    assert secrets.masked(docs, secrets.update(docs)).where("doc_id = 1").first().text == "use " + "*" * len(token) + " here"
+    whole = {"private_key": ["-----BEGIN RSA PRIVATE KEY-----"], "web_token": ["eyJabcdefgh.abcdefgh.abcdefgh"], "prefixed": ["ghp_" + "a" * 36, token, "sk_live_" + "a" * 16]}
+    assert all(kind in {k for k, _, _ in secrets.find(t)} for kind, texts in whole.items() for t in texts)
+
+
 def test_packing(docs, empty):
     lib = Tokenizer.from_file(TOKENIZER)
     cut = packing.pieces(docs, TOKENIZER)
