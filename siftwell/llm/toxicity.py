@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word is the mean of the embeddings of its character n-grams (3 to 5, with its ends marked) and of
-itself; a segment is the mean of its words; a linear softmax on a segment gives its class. A text scores
+itself; an over-long run counts as several words, its overlapping pieces; a segment is the mean of its
+words; a linear softmax on a segment gives its class. A text scores
 as its most toxic segment, so a few words in a long text are not averaged away. Unseen misspellings
 share n-gram vectors with the words they come from.
 
@@ -34,16 +35,30 @@ DIM = 8
 #: Words of a segment; segments overlap by half.
 SEGMENT = 16
 THRESHOLD = 0.7
+#: Characters of a longest word. Of a longer run, pieces of ``PIECE`` characters count as words, so that memory is bounded.
+RUN = 62
+PIECE = 10
 _MEMO = 400_000
 _WORD = re.compile(r"\w+")
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word and of its n-grams. Only the ends of a very long word are taken apart."""
-    marked = f"<{word}>"
-    found = [zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS]
-    if len(marked) > 64:
-        marked = marked[:32] + marked[-32:]
+def parts(run: str) -> list[str | tuple[int, str]]:
+    """A word as it is; an over-long run as its bucket with each of its pieces, which overlap so that every n-gram is in one."""
+    if len(run) <= RUN:
+        return [run]
+    marked = f"<{run}>"
+    whole = zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS
+    return [(whole, marked[i : i + PIECE]) for i in range(0, len(marked) - 4, PIECE - 4)]
+
+
+def grams(word: str | tuple[int, str]) -> list[int]:
+    """Buckets of a word and of its n-grams; for a piece, of its run and of the n-grams of the piece."""
+    if isinstance(word, tuple):
+        whole, marked = word
+    else:
+        marked = f"<{word}>"
+        whole = zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS
+    found = [whole]
     for n in (3, 4, 5):
         found += [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(marked) - n + 1)]
     return found
@@ -67,7 +82,7 @@ class Model:
 
     known: np.ndarray  # which n-grams take part
 
-    def word_value(self, word: str) -> float:
+    def word_value(self, word: str | tuple[int, str]) -> float:
         bag = np.array(grams(word))
         bag = bag[self.known[bag]]
         if not len(bag):
@@ -93,11 +108,11 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
         model.embedding[:] = 0
         model.bias[1] = np.log(p / (1 - p))
         return model
-    number: dict[str, int] = {}
+    number: dict[str | tuple[int, str], int] = {}
     # Flat arrays throughout: this runs on the driver.
     words, seg_start, doc_start = array("i"), array("i"), array("i")
     for t in texts:
-        ids = array("i", [number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())] or [number.setdefault("", len(number))])
+        ids = array("i", [number.setdefault(w, len(number)) for run in _WORD.findall(t.lower()) for w in parts(run)] or [number.setdefault("", len(number))])
         doc_start.append(len(seg_start))
         for a in range(0, max(1, len(ids) - SEGMENT // 2), SEGMENT // 2):
             seg_start.append(len(words))
@@ -161,7 +176,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, float] = {}
+        memo: dict[str | tuple[int, str], float] = {}
         for batch in batches:
             p = _scores(shared.value, batch.column(1).to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -178,18 +193,22 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, float] = {}
+        memo: dict[str | tuple[int, str], float] = {}
         for b in batches:
             yield b.filter(pa.array(_scores(shared.value, b.column(at).to_pylist(), memo) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _scores(m: Model, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
+def _scores(m: Model, texts: list[str | None], memo: dict[str | tuple[int, str], float]) -> np.ndarray:
     out = []
     for t in texts:
         words = _WORD.findall((t or "").lower())
-        for w in set(words).difference(memo):
+        new = set(words).difference(memo)
+        if any(len(w) > RUN for w in new):  # these are never in the memo
+            words = [p for w in words for p in parts(w)]
+            new = set(words).difference(memo)
+        for w in new:
             memo[w] = m.word_value(w)
         out.append(m.margin(list(map(memo.__getitem__, words))))
         if len(memo) > _MEMO:

@@ -140,6 +140,19 @@ def test_classifiers(spark, docs, empty):
     assert toxicity.train(["a"], [0], {0: 1}).margin([]) < 0 and quality.train([], [], {}).margin("") == 0
 
 
+def test_toxic_words_within_a_long_run_count(spark):
+    good, bad = ["a calm and ordinary text of words"] * 20, ["some nasty idiotx word here"] * 20
+    m = toxicity.train(good + bad, [0] * 20 + [1] * 20, {0: 20, 1: 20}, rounds=40)
+    calm = ["ordinary"] * 20
+    texts = ["_".join(calm + calm), "_".join(calm + ["some", "nasty", "idiotx", "word", "here"] * 4 + calm)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    assert got[0] < 0.1 and got[1] > toxicity.THRESHOLD
+    for run in ("".join(chr(0x4E00 + i) for i in range(n)) for n in range(55, 100)):  # all n-grams of the run and no others
+        marked = f"<{run}>"
+        want = {marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))}
+        assert {g for p in toxicity.parts(run) for g in toxicity.grams(p)} == {zlib.crc32(x.encode()) % toxicity.BUCKETS for x in want}
+
+
 def test_quality_blocks_cover_a_long_text():
     q = quality.train(["plain"] * 4 + ["#|"] * 4, [1] * 4 + [0] * 4, {0: 4, 1: 4}, epochs=1)
     whole = np.maximum(q.chunk_maxima(np.frombuffer(LONG.encode() * 3, np.uint8)) + q.shift, 0)
