@@ -29,20 +29,36 @@ NEAR = 40
 BASE, CHECKED, NEARBY = 0.6, 0.25, 0.15
 
 
+#: Matches of a text whose places are added up one by one; beyond, whole runs of so many are added up first.
+_RUN = 64
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """``array<struct<t, s>>``: matches with their start, from left to right."""
+    """``array<struct<t, s>>``: matches with their start, from left to right.
+
+    A start is the length of all before it. It is added up from the lengths of whole runs and of the few in
+    its own run, so that work does not grow with the square of the matches.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    step = F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("t")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<t:string,s:bigint>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["b"]) + F.length(x["t"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), (acc["at"] + F.length(x["b"])).cast("long").alias("s")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return step
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def place(v: Column) -> Column:
+        # What each match adds: the text before it and itself.
+        steps = F.zip_with(F.transform(F.slice(v["b"], F.lit(1), F.size(v["t"])), F.length), F.transform(v["t"], F.length), lambda x, y: (x + y).cast("long"))
+        return _let(steps, lambda st: _let(F.transform(F.sequence(F.lit(0), F.size(st), F.lit(_RUN)), lambda i: total(F.slice(st, i + 1, _RUN))), lambda runs: F.transform(v["t"], lambda t, i: start(v, st, runs, t, i))))
+
+    def start(v: Column, st: Column, runs: Column, t: Column, i: Column) -> Column:
+        whole = F.floor(i / _RUN).cast("int")
+        before = total(F.slice(runs, F.lit(1), whole)) + total(F.slice(st, whole * _RUN + 1, i - whole * _RUN))
+        return F.struct(t.alias("t"), (before + F.length(F.get(v["b"], i))).cast("long").alias("s"))
+
+    return _let(F.struct(found.alias("t"), between.alias("b")), place)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _if(condition: Column, spans: Column) -> Column:
@@ -64,7 +80,7 @@ def mod97(code: Column) -> Column:
 
 def propose(text: Column) -> dict[str, Column]:
     """Each kind's confirmed spans, as columns of ``array<struct<t, s>>``."""
-    clean = F.translate(text, _MARK, "")
+    clean = F.translate(text, _MARK, _OTHER)
     dots = F.regexp_replace(clean, f"(?<=[{_DOMAIN}])\\.(?=[{_DOMAIN}])", _MARK)
     email = f"(?:\\G|(?<![{_MARK}{_LOCAL}]))[{_MARK}{_LOCAL}]++@[{_DOMAIN}]++{_MARK}[{_MARK}{_DOMAIN}]++"
     joined = F.regexp_replace(clean, "(?<=[0-9])[\\x20-](?=[0-9])", _MARK)
@@ -107,10 +123,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    rows = detect(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    show = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    """Per row: counts by base kind and of all spans, the digest of the base spans, all spans, and all with their scores.
+
+    Null and empty texts have none; very long texts are read whole. Repeated rows come out as often as they are
+    there; other columns are ignored. No rows in, no rows out.
+    """
+    rows = detect(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    show = lambda s, more=(): F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"), *(F.format_string("%.2f", x[k]) for k in more))), ",")
     count = lambda i, k: F.size(F.filter("spans", lambda x: x["rank"] == i)).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", *(count(i, k) for i, k in enumerate(KINDS[:4])), F.sha2(show(F.filter("spans", lambda x: x["rank"] < 4)), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"))
+    base = F.sha2(show(F.filter("spans", lambda x: x["rank"] < 4)), 256).alias("base_sha256")
+    return rows.select("doc_id", *(count(i, k) for i, k in enumerate(KINDS[:4])), base, show(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), show(F.col("spans"), ["score"]).alias("scored"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
