@@ -1,9 +1,11 @@
 """Line deduplication by content-defined chunks of lines.
 
 A hash rolled over the hashes of two neighbouring lines decides whether a chunk ends there, so an insertion
-moves only the boundaries beside it. A line of ``LONG`` words or more is a chunk of its own. Chunks of
-several lines, and long lines, that are found again anywhere in the corpus, byte for byte, are removed
-except where they come first (by doc_id, then place). DataFrame functions only.
+moves only the boundaries beside it. Chunks of several lines that are found again anywhere in the corpus,
+byte for byte, are removed except where they come first (by doc_id, then place). As boundaries near the ends
+of a passage depend on what is around it, a repeat then takes in the lines beside it that are also beside its
+first occurrence. A line of ``PASSAGE`` words or more is a passage by itself: it is a chunk of its own and may go
+like chunks of several lines. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,28 +13,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import materialize, read_table, text_or_empty
+from siftwell.llm.common import digest_of, join_per_key, materialize, read_table, text_or_empty
 
 #: One in so many lines ends a chunk.
 DIVISOR = 3
-#: Words (by spaces) from which a single line counts as a chunk.
-LONG = 50
+#: Words (by spaces) from which a single line counts as a passage of its own; None: no line does.
+PASSAGE: int | None = 50
+
+_LAST = 2**63 - 1
+_LINES = "array<string>"
 
 
 def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Adds ``rid`` (id and text as one number) and ``chunks array<struct<body, n, whole>>``; a null text is empty.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once a row: lambdas over plain columns would repeat it for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    ``whole``: the chunk can be removed, having several lines or a long one, and not only white space.
-    """
-    rows = docs.withColumn("text", text_or_empty()).withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+def chunks_of(text: Column, passage: int | None = PASSAGE) -> Column:
+    """``array<struct<lines, whole>>``; ``whole``: several lines or a passage, and not only white space."""
 
     def cut(lines: Column) -> Column:
         hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-        return _let(F.struct(hashes.alias("h"), F.transform(lines, lambda x: _words(x) >= LONG).alias("long")), lambda of: _let(starts(lines, of), lambda at: F.transform(at, lambda s, k: chunk(lines, of, at, s, k))))
+        long = F.transform(lines, lambda x: _words(x) >= passage if passage else F.lit(False))
+        return _let(F.struct(hashes.alias("h"), long.alias("long")), lambda of: _let(starts(lines, of), lambda at: F.transform(at, lambda s, k: chunk(lines, of, at, s, k))))
 
     def starts(lines: Column, of: Column) -> Column:
         rolled = lambda i: (F.get(of["h"], i - 2) * 31 + F.get(of["h"], i - 1)) % DIVISOR == 0  # noqa: E731  over the two lines before i
@@ -40,65 +47,120 @@ def chunked(docs: DataFrame) -> DataFrame:
 
     def chunk(lines: Column, of: Column, at: Column, s: Column, k: Column) -> Column:
         n = F.coalesce(F.get(at, k + 1), F.size(lines)) - s
-        return F.struct(F.array_join(F.slice(lines, s + 1, n), "\n").alias("body"), n.alias("n"), ((n > 1) | F.get(of["long"], s)).alias("whole"))
+        own = F.slice(lines, s + 1, n)
+        return F.struct(own.alias("lines"), (((n > 1) | F.get(of["long"], s)) & F.exists(own, lambda x: F.trim(x) != "")).alias("whole"))
 
-    return rows.withColumn("chunks", _let(F.split("text", "\n", -1), cut))
+    return _let(F.split(text, "\n", -1), cut)
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once a row: lambdas over plain columns would repeat it for each element."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _common(a: Column, b: Column) -> Column:
+    """How many lines from the start on are the same, byte for byte; null counts as none."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.coalesce(F.when(differs > 0, differs - 1).otherwise(F.least(F.size(a), F.size(b))), F.lit(0)).cast("int")
 
 
-def repeats(parts: DataFrame) -> DataFrame:
-    """``rid, pos`` of every chunk that came before, byte for byte, from rows with ``doc_id, rid, chunks``."""
-    each = parts.select("doc_id", "rid", F.posexplode("chunks").alias("pos", "c")).where("c.whole AND trim(c.body) <> ''")
-    each = each.select("doc_id", "rid", "pos", F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h"))
+def repeats(rows: DataFrame, passage: int | None = PASSAGE) -> DataFrame:
+    """``doc, key, pos, gone, before, after`` of every chunk that is there more than once, from rows ``doc, key, text``.
+
+    ``gone``: it came before; ``before`` and ``after``: lines beside it that came before, too.
+    """
+    cut = rows.select("doc", "key", chunks_of(F.col("text"), passage).alias("chunks")).select("doc", "key", "chunks", F.posexplode("chunks").alias("pos", "c")).where("c.whole")
+    beside = lambda step: F.get("chunks", F.col("pos") + step)["lines"]
+    each = cut.select("doc", "key", "pos", F.col("c.lines").alias("body"), F.xxhash64("c.lines").alias("h"), beside(-1).alias("prev"), beside(1).alias("next"))
     # Thin rows first: hashes that are there once need no look at their bytes.
-    twice = each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    suspects = materialize(each.join(twice, "h", "left_semi"), "line-suspects")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("rid").alias("r"), F.col("pos").alias("p"))
-    firsts = suspects.groupBy("h", "body").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    again = suspects.join(firsts, ["h", "body"])
-    return again.where((F.col("rid") != F.col("first.r")) | (F.col("pos") != F.col("first.p"))).select("rid", "pos")
+    twice = materialize(each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "line-hashes")
+    suspects = join_per_key(each, twice, "h", how="inner", spread=["doc", "key", "pos"]).drop("h")
+    suspects = materialize(suspects.withColumn("digest", F.sha2(F.array_join("body", "\n"), 256)), "line-suspects")
+    place = F.struct("doc", "key", "pos")
+    # Grouping on the lines compares their bytes; map tasks fold their own copies first.
+    firsts = suspects.groupBy("body").agg(F.min(F.struct(place.alias("at"), "prev", "next")).alias("first"), F.first("digest").alias("digest"), F.count("*").alias("size"))
+    firsts = materialize(firsts.where("size > 1").select("digest", "first", "size"), "line-firsts")
+    again = join_per_key(suspects.drop("body"), firsts, "digest", how="inner", spread=["doc", "key", "pos"])
+    gone = place != F.col("first.at")
+    before = F.when(gone, _common(F.reverse("prev"), F.reverse("first.prev"))).otherwise(0)
+    after = F.when(gone, _common(F.col("next"), F.col("first.next"))).otherwise(0)
+    return again.select("doc", "key", "pos", gone.alias("gone"), before.alias("before"), after.alias("after"))
+
 
+_MARK = "struct<pos:int,gone:boolean,before:int,after:int>"
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+
+def _by_place(marks: Column, n: Column) -> Column:
+    """The marks, in order of place, as an array with one element for each of ``n`` chunks, null where there is no mark."""
+
+    def fill(m: Column) -> Column:
+        at = lambda j: F.get(m, j)["pos"]
+        gap = lambda j: F.coalesce(at(j), n) - F.coalesce(at(j - 1), F.lit(-1)) - 1
+        none = F.lit(None).cast(_MARK)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(m)), lambda j: F.concat(F.array_repeat(none, gap(j)), F.when(j < F.size(m), F.array(F.get(m, j))).otherwise(F.array().cast(f"array<{_MARK}>")))))
+
+    return _let(F.array_sort(marks), fill)
+
+
+def _kept(chunks: Column, marks: Column) -> Column:
+    """The lines of each chunk that stay. Chunks that come first, or whose like is elsewhere, are not trimmed."""
+    extent = lambda m, side: F.coalesce(F.when(m["gone"], m[side]), F.lit(0))
+
+    def one(at: Column) -> Column:
+        def lines(c: Column, i: Column) -> Column:
+            own, head, tail, n = F.get(at, i), extent(F.get(at, i - 1), "after"), extent(F.get(at, i + 1), "before"), F.size(c["lines"])
+            trimmed = F.slice(c["lines"], head + 1, F.greatest(n - head - tail, F.lit(0)))
+            return F.when(own.isNull(), trimmed).when(own["gone"], F.array().cast(_LINES)).otherwise(c["lines"])
+
+        return F.flatten(F.transform(chunks, lines))
+
+    return F.when(marks.isNull(), F.flatten(F.transform(chunks, lambda c: c["lines"]))).otherwise(_let(_by_place(marks, F.size(chunks)), one))
+
+
+def deduplicate(docs: DataFrame, passage: int | None = PASSAGE) -> DataFrame:
     """All rows and columns of ``docs``, with repeated chunks taken out of ``text``, and ``n_lines``, ``n_removed``.
 
     Null texts come out empty. Rows that agree in doc_id and text share their decisions: the first copy's
     chunks stay in each of them. A null doc_id comes after all others. A row all of whose lines are
-    removed has an empty text. Columns of the input that are named as ours are replaced.
+    removed has an empty text. No rows in, no rows out. Columns of the input named ``n_lines`` or ``n_removed``
+    are replaced; all others are kept, whatever their names.
     """
-    own = ["rid", "chunks", "n_lines", "n_removed", "_gone"]
-    base = docs.drop(*own)
-    gone = repeats(chunked(base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "rid", "chunks"))
-    gone = gone.groupBy("rid").agg(F.collect_set("pos").alias("_gone"))
+    base = docs.drop("n_lines", "n_removed")
+    ends = "_" * max(map(len, base.columns))
+    doc, key, marks, kept, parts = (f"{k}{ends}" for k in ("_doc", "_key", "_marks", "_kept", "_parts"))
+    text = text_or_empty()
+    named = base.withColumn("text", text).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(key, digest_of(F.col("text")))
+    found = repeats(named.select(F.col(doc).alias("doc"), F.col(key).alias("key"), "text"), passage).dropDuplicates(["doc", "key", "pos"])
+    by_row = found.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(F.collect_list(F.struct("pos", "gone", "before", "after")).alias(marks))
     # The chunks are cut anew after the join, so that text moves only once.
-    keyed = base.withColumn("text", text_or_empty()).withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    cut = chunked(keyed.join(gone, "rid", "left").drop("rid"))
-    removed = F.coalesce("_gone", F.array().cast("array<int>"))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains(removed, i))
-    count = lambda cs: F.aggregate(cs, F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    out = cut.withColumn("_kept", kept).withColumn("n_lines", count(F.col("chunks"))).withColumn("n_removed", F.col("n_lines") - count(F.col("_kept")))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda c: c["body"]), "\n"))
-    return out.withColumn("text", text).select(*base.columns, "n_lines", "n_removed")
+    cut = named.join(by_row, [doc, key], "left").withColumn(parts, F.when(F.col(marks).isNotNull(), chunks_of(F.col("text"), passage)))
+    cut = cut.withColumn(kept, F.when(F.col(marks).isNotNull(), _kept(F.col(parts), F.col(marks))))
+    lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    out = cut.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size(kept), F.lit(0)).cast("long"))
+    left = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.withColumn("text", left).select(*base.columns, "n_lines", "n_removed")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _same_lines(a: str, b: str) -> str:
+    return f"coalesce(nullif(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] = {b}[i]), false), 0) - 1, least(len({a}), len({b})), 0)"
+
+
 OP5_SQL = f"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs,
-             list_transform(ls, lambda x: length(x) - length(replace(x, ' ', '')) + 1 >= {LONG}) AS lg FROM l),
+             list_transform(ls, lambda x: length(x) - length(replace(x, ' ', '')) + 1 >= {PASSAGE}) AS lg FROM l),
 s AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: i = 1 OR lg[i] OR lg[i - 1] OR (i > 2 AND (hs[i - 2] * 31 + hs[i - 1]) % {DIVISOR} = 0)) AS st FROM h),
 c AS (SELECT doc_id, ls, lg, st, unnest(range(1, len(st) + 1)) AS k FROM s),
-e AS (SELECT doc_id, k, coalesce(st[k + 1], len(ls) + 1) - st[k] AS n, lg[st[k]] AS long_line,
-             array_to_string(ls[st[k] : coalesce(st[k + 1], len(ls) + 1) - 1], chr(10)) AS body FROM c),
-r AS (SELECT *, (n > 1 OR long_line) AND trim(body) <> '' AND row_number() OVER (PARTITION BY body, (n > 1 OR long_line) ORDER BY doc_id, k) > 1 AS gone FROM e)
-SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, sum(n)::BIGINT AS n_lines,
-       coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed
-FROM r GROUP BY doc_id
+e AS (SELECT doc_id, k, lg[st[k]] AS long_line, ls[st[k] : coalesce(st[k + 1], len(ls) + 1) - 1] AS own FROM c),
+w AS (SELECT *, len(own) AS n, (len(own) > 1 OR long_line) AND trim(array_to_string(own, ' ')) <> '' AS whole FROM e),
+r AS (SELECT *, count(*) OVER p > 1 AND whole AS twice, first_value(doc_id) OVER f AS first_doc, first_value(k) OVER f AS first_k,
+             lag(own) OVER d AS prev, lead(own) OVER d AS next FROM w
+      WINDOW p AS (PARTITION BY own, whole), f AS (PARTITION BY own, whole ORDER BY doc_id, k), d AS (PARTITION BY doc_id ORDER BY k)),
+g AS (SELECT r.doc_id, r.k, {_same_lines("list_reverse(r.prev)", "list_reverse(f.prev)")} AS before, {_same_lines("r.next", "f.next")} AS after
+      FROM r JOIN r f ON f.doc_id = r.first_doc AND f.k = r.first_k WHERE r.twice AND (r.doc_id <> r.first_doc OR r.k <> r.first_k)),
+t AS (SELECT r.doc_id, r.k, r.n, r.own, r.twice, o.k IS NOT NULL AS gone, coalesce(a.after, 0) AS head, coalesce(b.before, 0) AS tail FROM r
+      LEFT JOIN g o ON o.doc_id = r.doc_id AND o.k = r.k LEFT JOIN g a ON a.doc_id = r.doc_id AND a.k = r.k - 1 LEFT JOIN g b ON b.doc_id = r.doc_id AND b.k = r.k + 1),
+x AS (SELECT doc_id, k, n, CASE WHEN gone THEN [] WHEN twice THEN own WHEN head + tail >= n THEN [] ELSE own[head + 1 : n - tail] END AS kept FROM t)
+SELECT doc_id, coalesce(string_agg(array_to_string(kept, chr(10)), chr(10) ORDER BY k) FILTER (len(kept) > 0), '') AS text, sum(n)::BIGINT AS n_lines,
+       sum(n - len(kept))::BIGINT AS n_removed
+FROM x GROUP BY doc_id
 """
