@@ -25,6 +25,8 @@ DIM, WIDTH, STRIDE, FILTERS = 6, 10, 5, 24
 #: Windows of a chunk, and by how many the next chunk starts later.
 CHUNK, HOP = 192, 160
 THRESHOLD = 0.3
+#: Chunks of a text that are worked out together.
+TOGETHER = 400
 
 
 @dataclass
@@ -38,7 +40,7 @@ class Model:
 
     def windows(self, raw: np.ndarray) -> np.ndarray:
         """All windows of a text as rows; the last one is padded by zero bytes."""
-        n = max(1, -(-max(0, len(raw) - WIDTH) // STRIDE) + 1)
+        n = windows_of(len(raw))
         need = (n - 1) * STRIDE + WIDTH
         if need > len(raw):
             raw = np.concatenate([raw, np.zeros(need - len(raw), np.uint8)])
@@ -53,15 +55,23 @@ class Model:
         return (best, np.stack([s + response[s : s + CHUNK].argmax(axis=0) for s in starts])) if where else best
 
     def margin(self, text: str) -> float:
-        raw, parts = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), []
-        # A very long text is worked off in blocks of whole hops that overlap by what a chunk spans.
-        block, step = STRIDE * HOP * 400, STRIDE * HOP * 400
-        for a in range(0, max(1, len(raw)), step):
-            if a and len(raw) - a <= STRIDE * (CHUNK - HOP) + WIDTH:
-                break  # the block before covers it
-            parts.append(self.chunk_maxima(raw[a : a + block + STRIDE * (CHUNK - HOP) + WIDTH]))
-        best = np.maximum(np.concatenate(parts) + self.shift, 0)
-        return float(best.mean(axis=0) @ self.mean_weight + best.max(axis=0) @ self.max_weight + self.bias[0])
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        starts, last = chunk_starts(windows_of(len(raw))), windows_of(len(raw))
+        best = np.empty((len(starts), FILTERS), np.float32)
+        # Chunks are those of the whole text; only so many are worked out at a time, to bound memory.
+        for lo in range(0, len(starts), TOGETHER):
+            some = starts[lo : lo + TOGETHER]
+            stop = min(some[-1] + CHUNK, last)
+            response = self.windows(raw[some[0] * STRIDE : (stop - 1) * STRIDE + WIDTH]) @ self.filters
+            for k, s in enumerate(some, lo):
+                best[k] = response[s - some[0] : s - some[0] + CHUNK].max(axis=0)
+        best = np.maximum(best + self.shift, 0)
+        return float(best.mean(axis=0, dtype=np.float64) @ self.mean_weight + best.max(axis=0) @ self.max_weight + self.bias[0])
+
+
+def windows_of(size: int) -> int:
+    """Windows that cover so many bytes; no bytes have one window of padding."""
+    return max(1, -(-max(0, size - WIDTH) // STRIDE) + 1)
 
 
 def chunk_starts(windows: int) -> list[int]:
@@ -124,7 +134,11 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], epochs: i
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` for every row; a null or empty text is one window of padding."""
+    """``doc_id, score, predicted`` for every row; a null or empty text is one window of padding.
+
+    Rows are independent: repeated rows come out as often as they are there, rows with a null id too; other
+    columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +152,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn) -> Model:
+    """Fitted on ``sample``'s rows; without labels of both classes the model gives the prior."""
     return train(*sample(docs, labels, "quality", learn, PER_CLASS))
 
 
