@@ -11,11 +11,13 @@ normaliser NFC, white space, lower case. Special tokens in a text become their o
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import os
 import re
+import shutil
 import struct
 import tempfile
 import unicodedata
@@ -33,8 +35,8 @@ from siftwell.llm.common import materialize, small_batches, text_or_empty
 
 #: Words of the corpus that are compiled into the lexicon, the most frequent first.
 LEXICON_WORDS = 32_768
-#: Words that a worker keeps resolved; then it starts anew.
-MEMO_WORDS = 900_000
+#: Words that a worker keeps resolved, twice: the latest ones, and those from before them.
+MEMO_WORDS = 200_000
 #: Distinct words that a worker counts before it hands the counts on.
 COUNT_WORDS = 400_000
 
@@ -332,6 +334,8 @@ class Splitter:
         self.marks = tuple(special)
         self.plain: set[str] = set()
         self.odd: set[str] = set()
+        self.known: set[str] = set()
+        self.newer: set[str] = set()
 
     def _is_plain(self, chars: set[str]) -> bool:
         for c in chars - self.plain - self.odd:
@@ -340,10 +344,24 @@ class Splitter:
             (self.plain if agreed else self.odd).add(c)
         return chars <= self.plain
 
+    def _composes_alike(self, chars: set[str]) -> bool:
+        """Whether none of ``chars`` could be ordered or composed by one library's tables only.
+
+        Marks and characters with a decomposition of later Unicode versions than 3.2 are not in all tables.
+        """
+        for c in chars - self.known - self.newer:
+            old = unicodedata.ucd_3_2_0
+            moves = unicodedata.combining(c) or unicodedata.category(c)[0] == "M" or unicodedata.decomposition(c)
+            alike = not moves or old.combining(c) == unicodedata.combining(c) and old.category(c) != "Cn" and old.decomposition(c) == unicodedata.decomposition(c)
+            (self.known if alike else self.newer).add(c)
+        return chars <= self.known
+
     def _plain_text(self, text: str) -> str | None:
         """The text composed and in lower case, None if it has characters on which the libraries may differ."""
         if text.isascii():
             return text.lower()
+        if not self._composes_alike(set(text)):
+            return None
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return low if self._is_plain(set(low)) else None
 
@@ -382,11 +400,15 @@ class Coder:
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.views = views
         self.memo: list[dict[str, object]] = [{} for _ in views]
+        self.before: list[dict[str, object]] = [{} for _ in views]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.memo[0]) + len(new) > MEMO_WORDS:
-            for m in self.memo:
-                m.clear()
+        """Resolve words that are not held: from the words held before, the lexicon, or by merges."""
+        kept = new.intersection(self.before[0])
+        if kept:
+            for memo, before in zip(self.memo, self.before, strict=True):
+                memo.update((w, before[w]) for w in kept)
+            new = new.difference(kept)
         words = list(new)
         found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words]) if self.lexicon else [None] * len(words)
         special = self.merger.special
@@ -403,12 +425,23 @@ class Coder:
             cut = [self.splitter.pieces(t) for t in texts[a:b]]
             need = set(chain.from_iterable(cut))
             new = need.difference(self.memo[0])
+            if new and len(self.memo[0]) + len(new) > MEMO_WORDS:
+                # Words in use are taken over from here when they come again; the others go at the next turn.
+                self.before, self.memo, new = self.memo, [{} for _ in self.views], need
             if new:
-                self._learn(need if len(self.memo[0]) + len(new) > MEMO_WORDS else new)
+                self._learn(new)
             for words in cut:
                 yield [list(map(m.__getitem__, words)) for m in self.memo]
 
 
+def plain_ids(ids: tuple[int, ...], _: Merger) -> tuple[int, ...]:
+    return ids
+
+
+def token_list(ids: tuple[int, ...], m: Merger) -> list[str]:
+    return [m.token[i] for i in ids]
+
+
 def id_text(ids: tuple[int, ...], _: Merger) -> str:
     return " ".join(map(str, ids))
 
@@ -425,38 +458,54 @@ _CODERS: dict[tuple, Coder] = {}
 
 
 def coder(tokenizer: str, lexicon: str, *views: Callable) -> Coder:
-    """A worker's coder; it lives on from task to task, so that words are resolved once a worker."""
+    """A worker's coder of two files that were shipped; it lives on from task to task, so that words are resolved once a worker."""
     key = (tokenizer, lexicon, *(v.__qualname__ for v in views))
     if key not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = Coder(tokenizer, SparkFiles.get(lexicon), list(views))
+        _CODERS[key] = Coder(SparkFiles.get(tokenizer), SparkFiles.get(lexicon), list(views))
     return _CODERS[key]
 
 
 # --- on Spark --------------------------------------------------------------------------------------
 
 
-def ship_lexicon(spark: SparkSession, words: dict[str, tuple[int, ...]]) -> str:
-    """Compile ``words``, hand the file to every executor, and return its name for ``SparkFiles``.
+def ship_file(spark: SparkSession, data: bytes, kind: str, ending: str) -> str:
+    """Hand a file of fixed size to every executor, also to those that start later; returns its name for ``SparkFiles``.
 
-    The file is bounded by the number of words. Executors that start later fetch it as well.
+    The driver's copy, from which executors fetch, goes when the driver ends.
     """
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    raw = os.path.join(folder, "raw")
-    compile_lexicon(words, raw)
-    with open(raw, "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:20]}.bin"
-    os.rename(raw, os.path.join(folder, name))
-    if name not in spark.sparkContext.listFiles and not any(x.endswith(name) for x in spark.sparkContext.listFiles):
+    name = f"{kind}-{hashlib.sha256(data).hexdigest()[:20]}.{ending}"
+    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
+        folder = tempfile.mkdtemp(prefix=f"{kind}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(data)
         spark.sparkContext.addFile(os.path.join(folder, name))
     return name
 
 
+def ship_tokenizer(spark: SparkSession, tokenizer: str) -> str:
+    """Workers need not have the tokenizer's file where the driver has it."""
+    with open(tokenizer, "rb") as f:
+        return ship_file(spark, f.read(), "tokenizer", "json")
+
+
+def ship_lexicon(spark: SparkSession, words: dict[str, tuple[int, ...]]) -> str:
+    """Compile ``words`` and ship the file, which is bounded by the number of words."""
+    with tempfile.TemporaryDirectory(prefix="lexicon-") as folder:
+        path = os.path.join(folder, "lexicon")
+        compile_lexicon(words, path)
+        with open(path, "rb") as f:
+            return ship_file(spark, f.read(), "lexicon", "bin")
+
+
 def frequent_words(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> list[str]:
     """The words that occur most often in all texts: as many whole classes of frequency as ``n`` words hold."""
 
+    shipped = ship_tokenizer(docs.sparkSession, tokenizer)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, counts = Splitter(tokenizer, []), Counter()
+        splitter, counts = Splitter(SparkFiles.get(shipped), []), Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -488,22 +537,29 @@ def corpus_lexicon(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> s
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col, ids array<int>, tokens array<string>`` for every row; a null text counts as empty."""
+    shipped = ship_tokenizer(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer, SparkFiles.get(lexicon), [lambda ids, _: ids, lambda ids, m: [m.token[i] for i in ids]])
+        own = coder(shipped, lexicon, plain_ids, token_list)
         for batch in batches:
-            for i, (ids, tokens) in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([[x for w in ids for x in w]], pa.list_(pa.int32())), pa.array([[x for w in tokens for x in w]], pa.list_(pa.string()))], ["id", "ids", "tokens"])
+            for i, (ids, tokens) in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([[*chain.from_iterable(ids)]], pa.list_(pa.int32())), pa.array([[*chain.from_iterable(tokens)]], pa.list_(pa.string()))], ["id", "ids", "tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty().alias("text")).mapInArrow(run, "id long, ids array<int>, tokens array<string>").withColumnRenamed("id", id_col)
 
 
+_DECODERS: dict[str, dict[int, str]] = {}
+
+
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded``: the tokens of ``ids_col`` joined by one space, as the library does without a decoder."""
+    """Adds ``decoded``: the tokens of ``ids_col`` joined by one space, as the library does without a decoder. Null ids give null."""
+    shipped = ship_tokenizer(rows.sparkSession, tokenizer)
 
     @F.pandas_udf("string")
     def tokens(ids):
-        token = Merger(tokenizer).token
+        if shipped not in _DECODERS:  # read once a worker
+            _DECODERS[shipped] = Merger(SparkFiles.get(shipped)).token
+        token = _DECODERS[shipped]
         return ids.map(lambda x: None if x is None else " ".join(token[i] for i in x))
 
     return rows.withColumn("decoded", tokens(F.col(ids_col)))
@@ -516,9 +572,10 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
     rows and repeated ids come out once each. Extra columns are ignored.
     """
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    shipped = ship_tokenizer(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(tokenizer, lexicon, id_text, token_text)
+        own = coder(shipped, lexicon, id_text, token_text)
         for batch in batches:
             n, a, b = [], [], []
             for ids, tokens in own.encode(batch.column(1).to_pylist()):
