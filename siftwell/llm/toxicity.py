@@ -17,13 +17,14 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import read_table, text_or_empty
+from siftwell.llm.common import read_table, small_batches, text_or_empty
 from siftwell.llm.labelled import crc_of_id, sample
 
 #: Rows of each class that the model is fitted on, at most.
@@ -51,17 +52,69 @@ def parts(run: str) -> list[str | tuple[int, str]]:
     return [(whole, marked[i : i + PIECE]) for i in range(0, len(marked) - 4, PIECE - 4)]
 
 
+def _crc_table() -> np.ndarray:
+    """CRC-32's step for each byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_STEP = _crc_table()
+
+
+def bags(words: list[str | tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' n-grams in a row, word after word, and how many each word has.
+
+    A word's bag is itself and its n-grams; a piece's is its run and the n-grams of the piece. The CRC-32 of
+    all n-grams is worked out together: one step for each byte of the character that an n-gram grows by.
+    """
+    whole, marked = [], []
+    for w in words:
+        if isinstance(w, tuple):
+            whole.append(w[0])
+            marked.append(w[1])
+        else:
+            marked.append(f"<{w}>")
+            whole.append(zlib.crc32(marked[-1].encode("utf-8", "surrogatepass")) % BUCKETS)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    sizes = np.array([*map(len, marked)], np.int64)
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    width = np.searchsorted(np.array([0x80, 0x800, 0x10000], np.uint32), chars, "right") + 1
+    wide = int(width.max(initial=1))
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[width] if wide > 1 else None
+
+    def after(state: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if wide == 1:
+            return _STEP[(state ^ chars[at]) & 0xFF] ^ state >> np.uint32(8)
+        for k in range(wide):
+            left = width[at] - 1 - k  # bytes of the character that follow this one
+            byte = chars[at] >> (6 * np.maximum(left, 0)).astype(np.uint32)
+            byte = np.where(k == 0, byte | lead[at], byte & 0x3F | 0x80).astype(np.uint32)
+            state = np.where(left >= 0, _STEP[(state ^ byte) & 0xFF] ^ state >> np.uint32(8), state)
+        return state
+
+    at = np.arange(len(chars))
+    state = np.full(len(chars), 0xFFFFFFFF, np.uint32)
+    word_of = np.repeat(np.arange(len(words)), sizes)
+    found, owner = [np.array(whole, np.int64)], [np.arange(len(words))]
+    for n in range(1, 6):
+        more = at + n <= ends[at]
+        at, state = at[more], state[more]
+        state = after(state, at + n - 1)
+        if n >= 3:
+            found.append((~state % BUCKETS).astype(np.int64))
+            owner.append(word_of[at])
+    own = np.concatenate(owner)
+    order = np.argsort(own, kind="stable")
+    return np.concatenate(found)[order].astype(np.int32), np.bincount(own, minlength=len(words)).astype(np.int32)
+
+
 def grams(word: str | tuple[int, str]) -> list[int]:
-    """Buckets of a word and of its n-grams; for a piece, of its run and of the n-grams of the piece."""
-    if isinstance(word, tuple):
-        whole, marked = word
-    else:
-        marked = f"<{word}>"
-        whole = zlib.crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS
-    found = [whole]
-    for n in (3, 4, 5):
-        found += [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(marked) - n + 1)]
-    return found
+    """Buckets of one word's bag."""
+    return bags([word])[0].tolist()
 
 
 def segments(values: np.ndarray) -> np.ndarray:
@@ -82,13 +135,20 @@ class Model:
 
     known: np.ndarray  # which n-grams take part
 
+    def shares(self) -> np.ndarray:
+        """What each n-gram adds to the softmax's difference; nothing for one that takes no part."""
+        return np.where(self.known, self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0]), 0).astype(np.float64)
+
+    def word_values(self, words: list[str | tuple[int, str]], shares: np.ndarray | None = None) -> np.ndarray:
+        """Each word's share: the mean over those of its n-grams that take part."""
+        shares = self.shares() if shares is None else shares
+        gram, size = bags(words)
+        word = np.repeat(np.arange(len(words)), size)
+        n = np.bincount(word, self.known[gram], len(words))
+        return np.bincount(word, shares[gram], len(words)) / np.maximum(n, 1)
+
     def word_value(self, word: str | tuple[int, str]) -> float:
-        bag = np.array(grams(word))
-        bag = bag[self.known[bag]]
-        if not len(bag):
-            return 0.0
-        both = self.embedding[bag].mean(axis=0) @ self.softmax
-        return float(both[1] - both[0])
+        return float(self.word_values([word])[0])
 
     def margin(self, values: list[float]) -> float:
         return float(segments(np.array(values)).max() + self.bias[1] - self.bias[0])
@@ -121,12 +181,7 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
     seg_len = np.diff(np.append(seg_start, len(word)))
     of_seg = np.repeat(np.arange(len(seg_start), dtype=np.int32), seg_len)
     of_doc = np.repeat(np.arange(len(doc_start), dtype=np.int32), np.diff(np.append(doc_start, len(seg_start))))
-    flat, sizes = array("i"), array("i")
-    for w in number:
-        bag = grams(w)
-        flat.extend(bag)
-        sizes.append(len(bag))
-    gram, bag_len = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32)
+    gram, bag_len = bags(list(number))
     bag_start = np.append(0, np.cumsum(bag_len))
     in_texts = np.zeros(BUCKETS, np.int32)
     seg_end, doc_end = np.append(seg_start[1:], len(word)), np.append(doc_start[1:], len(seg_start))
@@ -134,19 +189,22 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
         own = np.unique(word[seg_start[a] : seg_end[z - 1]])
         in_texts[np.unique(np.concatenate([gram[bag_start[w] : bag_start[w + 1]] for w in own]))] += 1
     model.known = in_texts >= min(LEAST_TEXTS, 1 + len(texts) // 20)
+    # From here on only the n-grams that take part have rows.
+    rows = np.flatnonzero(model.known)
     use = model.known[gram]
-    of_bag = np.repeat(np.arange(len(bag_len), dtype=np.int32), bag_len)[use]
-    gram = gram[use]
-    bags = len(bag_len)
-    bag_len = np.maximum(np.bincount(of_bag, minlength=bags), 1)
-    del number, flat
+    bags_n = len(bag_len)
+    of_bag = np.repeat(np.arange(bags_n, dtype=np.int32), bag_len)[use]
+    gram = (np.cumsum(model.known) - 1)[gram[use]]
+    bag_len = np.maximum(np.bincount(of_bag, minlength=bags_n), 1)
+    embedding = model.embedding[rows]
+    del number
     y = np.array(labels, np.float32)
     have = np.bincount(y.astype(int), minlength=2)
     weight = np.where(y == 1, tilt * counts[1] / have[1], counts[0] / have[0]) / total
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.embedding, model.softmax, model.bias)]
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (embedding, model.softmax, model.bias)]
     for step in range(1, rounds + 1):
         theta = model.softmax[:, 1] - model.softmax[:, 0]
-        by_word = np.bincount(of_bag, (model.embedding @ theta)[gram], bags) / bag_len
+        by_word = np.bincount(of_bag, (embedding @ theta)[gram], bags_n) / bag_len
         margin = np.add.reduceat(by_word[word], seg_start) / seg_len + model.bias[1] - model.bias[0]
         if step <= warm:
             pull = (1 / (1 + np.exp(-margin)) - y[of_doc]) * (weight / np.bincount(of_doc))[of_doc]
@@ -157,65 +215,92 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
             np.minimum.at(first, of_doc[hit], hit)
             pull = np.zeros(len(margin))
             pull[first] = (1 / (1 + np.exp(-top)) - y) * weight
-        on_word = np.bincount(word, (pull / seg_len)[of_seg], bags)
-        on_gram = np.bincount(gram, (on_word / bag_len)[of_bag], BUCKETS).astype(np.float32)
-        on_theta = on_gram @ model.embedding + 1e-5 * theta
-        slope = [on_gram[:, None] * theta + decay * model.embedding, np.stack([-on_theta, on_theta], 1), np.array([-pull.sum(), pull.sum()], np.float32)]
-        for p, g, (m, v) in zip((model.embedding, model.softmax, model.bias), slope, state, strict=True):
+        on_word = np.bincount(word, (pull / seg_len)[of_seg], bags_n)
+        on_gram = np.bincount(gram, (on_word / bag_len)[of_bag], len(rows)).astype(np.float32)
+        on_theta = on_gram @ embedding + 1e-5 * theta
+        slope = [on_gram[:, None] * theta + decay * embedding, np.stack([-on_theta, on_theta], 1), np.array([-pull.sum(), pull.sum()], np.float32)]
+        for p, g, (m, v) in zip((embedding, model.softmax, model.bias), slope, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    model.embedding[rows] = embedding
     return model
 
 
+class Scorer:
+    """What workers need of a model: each n-gram's share. Words that were met keep their value."""
+
+    def __init__(self, model: Model):
+        self.known, self.shares = model.known, model.shares().astype(np.float32)
+        self.base = float(model.bias[1] - model.bias[0])
+        self.name = zlib.crc32(self.shares.tobytes() + self.known.tobytes())
+
+    def probabilities(self, texts: list[str | None]) -> np.ndarray:
+        memo = _memo(self.name)
+        out = np.empty(len(texts))
+        for a, b in small_batches([t or "" for t in texts], 2_000_000):
+            cut = [_WORD.findall((t or "").lower()) for t in texts[a:b]]
+            cut = [[p for w in words for p in parts(w)] if words and len(max(words, key=len)) > RUN else words for words in cut]
+            need = set(chain.from_iterable(cut))
+            if len(memo) + len(need) > _MEMO:
+                memo.clear()
+            new = list(need.difference(memo))
+            for k in range(0, len(new), 20_000):
+                some = new[k : k + 20_000]
+                memo.update(zip(some, self._values(some).tolist(), strict=True))
+            for i, words in enumerate(cut, a):
+                out[i] = segments(np.array([*map(memo.__getitem__, words)])).max() + self.base
+        return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
+
+    def _values(self, words: list) -> np.ndarray:
+        gram, size = bags(words)
+        word = np.repeat(np.arange(len(words)), size)
+        return np.bincount(word, self.shares[gram], len(words)) / np.maximum(np.bincount(word, self.known[gram], len(words)), 1)
+
+
+_MEMOS: dict[int, dict] = {}
+
+
+def _memo(name: int) -> dict:
+    """A worker's values for one model; they live on from task to task."""
+    if name not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[name] = {}
+    return _MEMOS[name]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` for every row; a null or empty text scores as one empty segment.
 
-    The model has a fixed size, whatever the corpus, and goes to the workers with the function.
+    Rows are independent: repeated rows come out as often as they are there, rows with a null id too; other
+    columns are ignored. The model has a fixed size, whatever the corpus, and goes to the workers once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str | tuple[int, str], float] = {}
         for batch in batches:
-            p = _scores(shared.value, batch.column(1).to_pylist(), memo)
+            p = shared.value.probabilities(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn) -> Model:
+    """Fitted on ``sample``'s rows; without labels of both classes the model gives the prior."""
     return train(*sample(docs, labels, "toxic", learn, PER_CLASS))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, unchanged, that score under ``threshold``."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    """The rows of ``docs``, unchanged and with all columns, that score under ``threshold``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(Scorer(model)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str | tuple[int, str], float] = {}
         for b in batches:
-            yield b.filter(pa.array(_scores(shared.value, b.column(at).to_pylist(), memo) < threshold))
+            yield b.filter(pa.array(shared.value.probabilities(b.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _scores(m: Model, texts: list[str | None], memo: dict[str | tuple[int, str], float]) -> np.ndarray:
-    out = []
-    for t in texts:
-        words = _WORD.findall((t or "").lower())
-        new = set(words).difference(memo)
-        if any(len(w) > RUN for w in new):  # these are never in the memo
-            words = [p for w in words for p in parts(w)]
-            new = set(words).difference(memo)
-        for w in new:
-            memo[w] = m.word_value(w)
-        out.append(m.margin(list(map(memo.__getitem__, words))))
-        if len(memo) > _MEMO:
-            memo.clear()
-    return 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -60, 60)))
-
-
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = crc_of_id() % 3 == 1
