@@ -53,10 +53,14 @@ def mrl_reduce(v: Column, dim: int, full: int) -> Column:
 
 
 def char_embed(text: Column, dim: int = 128) -> Column:
-    """Character codes added up by place modulo ``dim``, normalised: a deterministic embedding for tests and offline use."""
+    """Character codes added up by place modulo ``dim``, normalised: a deterministic embedding for tests and offline use. Null gives null."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
-    sums = let(codes, lambda cs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.aggregate(F.filter(cs, lambda c, i: i % dim == j), F.lit(0.0), lambda s, x: s + x)))
-    return let(sums, unit)
+
+    def by_place(cs: Column) -> Column:
+        places = lambda j: F.when(j < F.size(cs), F.sequence(j, F.greatest(F.size(cs) - 1, j), F.lit(dim))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.aggregate(places(j), F.lit(0.0), lambda s, i: s + F.get(cs, i)))
+
+    return let(let(codes, by_place), unit)
 
 
 def float64_bytes(v):

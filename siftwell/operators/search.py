@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,8 @@ from siftwell.errors import RetrievalError
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vx
 
-#: Queries that are sent to every task as one matrix; more are worked off in blocks of so many.
-QUERY_BLOCK = 4096
+#: Queries that are sent to every task as one matrix; of more, and of documents then, the rows of a block on average.
+QUERY_BLOCK, DOC_BLOCK = 4096, 16_384
 
 
 def object_filter(meta: str, wanted: dict) -> Column:
@@ -51,62 +51,74 @@ def apply_filter(docs: DataFrame, wanted: dict | Callable[[Column], Column] | Ca
 
 
 def top_k(queries: DataFrame, docs: DataFrame, k: int = 3, *, min_score: float | None = None, query_id: str = "query_id", order: str = "seq") -> DataFrame:
-    """For each query its ``k`` best documents by cosine, ties by ``order``: query_id, rank, score and the documents' columns.
+    """For each query its ``k`` best documents by cosine, ties by ``order`` (a key): query_id, rank, score and the documents' columns.
 
     Frames have ``embedding array<double>``. Work is one matrix product a batch of documents; each task keeps
-    k rows a query, so what is shuffled depends on queries and tasks, not on documents. A query set beyond
-    ``QUERY_BLOCK`` is worked off in blocks. Zero vectors score 0, other dimensions are not compared.
+    k rows a query, so what is shuffled depends on queries and tasks, not on documents. Up to ``QUERY_BLOCK``
+    queries go to every task as one matrix. More are dealt, as the documents are, into blocks of bounded size, and
+    each pair of blocks is one task's work: one scan of each side, and nothing goes through the driver. Zero vectors
+    score 0, other dimensions are not compared. Scores are rounded to twelve places, so that copies tie.
     """
     if k < 0:
         raise RetrievalError.invalid_top_k(k)
     k = k or 3
-    rows = queries.select(query_id, "embedding").orderBy(query_id)
-    kind = queries.schema[query_id].dataType.simpleString()
+    asked = queries.select(query_id, F.col("embedding").cast("array<double>").alias("embedding"))
+    kind, order_kind = queries.schema[query_id].dataType.simpleString(), docs.schema[order].dataType.simpleString()
     plain = docs.select(F.col(order).alias("_order"), F.col("embedding").cast("array<double>").alias("_e"))
-    parts = []
-    taken = rows.toLocalIterator()
-    while block := [r for _, r in zip(range(QUERY_BLOCK), taken, strict=False)]:
-        parts.append(_block(block, plain, k, min_score, query_id, kind, docs.schema[order].dataType.simpleString()))
-    if not parts:
-        parts = [_block([], plain, k, min_score, query_id, kind, docs.schema[order].dataType.simpleString())]
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
+    schema = f"{query_id} {kind}, score double, _order {order_kind}"
+    many = asked.count()
+    if many <= QUERY_BLOCK:
+        rows = asked.orderBy(query_id).collect()
+        shared = docs.sparkSession.sparkContext.broadcast(_matrices([r[0] for r in rows], [r.embedding for r in rows]))
+        best = plain.mapInPandas(lambda batches: _best(shared.value, batches, k, min_score, query_id), schema)
+    else:
+        rows, columns = -(-many // QUERY_BLOCK), max(1, -(-docs.count() // DOC_BLOCK))
+        q = asked.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(rows))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+        d = plain.withColumn("_d", F.pmod(F.xxhash64("_order"), F.lit(columns)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long"))
+
+        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            found = [*_best(_matrices(left[query_id].tolist(), left["embedding"].tolist()), [right], k, min_score, query_id)]
+            return pd.concat(found) if found else pd.DataFrame({query_id: [], "score": [], "_order": []})
+
+        best = q.groupBy("_q", "_d").cogroup(d.groupBy("_q", "_d")).applyInPandas(pair, schema)
     w = W.partitionBy(query_id).orderBy(F.desc("score"), "_order")
     ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     own = [c for c in docs.columns if c not in (query_id, "rank", "score")]
     return ranked.join(docs.select(*own), ranked["_order"] == docs[order]).select(query_id, "rank", "score", *own)
 
 
-def _block(block: list, docs: DataFrame, k: int, floor: float | None, name: str, kind: str, order_kind: str) -> DataFrame:
-    by_dim: dict[int, tuple[list, np.ndarray]] = {}
-    for dim in {len(r.embedding) for r in block}:
-        own = [r for r in block if len(r.embedding) == dim]
-        m = np.array([r.embedding for r in own], np.float64)
-        by_dim[dim] = ([r[0] for r in own], m / np.where((n := np.linalg.norm(m, axis=1)) == 0, 1, n)[:, None])
-    shared = docs.sparkSession.sparkContext.broadcast(by_dim)
-
-    def run(batches):
-        held: dict[int, pd.DataFrame] = {}
-        for pdf in batches:
-            dims = pdf["_e"].map(lambda v: -1 if v is None else len(v)).to_numpy()
-            for dim, (ids, matrix) in shared.value.items():
-                at = np.flatnonzero(dims == dim)
-                if not len(at):
-                    continue
-                e = np.stack(pdf["_e"].iloc[at].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(e, axis=1)
-                scores = (e / np.where(n == 0, 1, n)[:, None]) @ matrix.T
-                order = pdf["_order"].to_numpy()[at]
-                by_order = np.argsort(order, kind="stable")
-                pick = by_order[np.argsort(-scores[by_order].T, axis=1, kind="stable")[:, :k]]
-                new = pd.DataFrame({name: np.repeat(np.array(ids, object), pick.shape[1]), "score": np.take_along_axis(scores.T, pick, 1).ravel(), "_order": order[pick].ravel()})
-                both = pd.concat([held[dim], new]) if dim in held else new
-                held[dim] = both.sort_values([name, "score", "_order"], ascending=[True, False, True]).groupby(name, sort=False).head(k)
-        for out in held.values():
-            yield out[out["score"] >= floor] if floor is not None else out
-
-    return docs.mapInPandas(run, f"{name} {kind}, score double, _order {order_kind}")
+def _matrices(ids: list, vectors: list) -> dict[int, tuple[list, np.ndarray]]:
+    """Queries by dimension, as one matrix of unit vectors each."""
+    out = {}
+    for dim in {len(v) for v in vectors if v is not None}:
+        own = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+        m = np.array([vectors[i] for i in own], np.float64)
+        out[dim] = [ids[i] for i in own], m / np.where((n := np.linalg.norm(m, axis=1)) == 0, 1, n)[:, None]
+    return out
+
+
+def _best(by_dim: dict[int, tuple[list, np.ndarray]], batches: Iterable[pd.DataFrame], k: int, floor: float | None, name: str) -> Iterator[pd.DataFrame]:
+    """The ``k`` best documents of ``batches`` for each query."""
+    held: dict[int, pd.DataFrame] = {}
+    for pdf in batches:
+        dims = pdf["_e"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+        for dim, (ids, matrix) in by_dim.items():
+            at = np.flatnonzero(dims == dim)
+            if not len(at):
+                continue
+            e = np.stack(pdf["_e"].iloc[at].to_numpy()).astype(np.float64)
+            n = np.linalg.norm(e, axis=1)
+            order = pdf["_order"].to_numpy()[at]
+            by_order = np.argsort(order, kind="stable")
+            e = (e / np.where(n == 0, 1, n)[:, None])[by_order]
+            for lo in range(0, len(ids), 512):  # bounds the matrix of scores
+                scores = np.round(e @ matrix[lo : lo + 512].T, 12)
+                pick = np.argsort(-scores.T, axis=1, kind="stable")[:, :k]
+                new = pd.DataFrame({name: np.repeat(np.array(ids[lo : lo + 512], object), pick.shape[1]), "score": np.take_along_axis(scores.T, pick, 1).ravel(), "_order": order[by_order][pick].ravel()})
+                both = pd.concat([held[dim, lo], new]) if (dim, lo) in held else new
+                held[dim, lo] = both.sort_values([name, "score", "_order"], ascending=[True, False, True]).groupby(name, sort=False).head(k)
+    for out in held.values():
+        yield out[out["score"] >= floor] if floor is not None else out
 
 
 def with_explanation(hits: DataFrame, query: str = "query", text: str = "text", meta: str | None = None) -> DataFrame:

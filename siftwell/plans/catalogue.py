@@ -62,14 +62,14 @@ _COS = "list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[])"
 
 def _topk_sql(ids: str, k: int, where: str = "true", score: str = _COS, floor: str = "true") -> str:
     return f"""SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM (
         SELECT q.vec_id AS query_id, d.vec_id, {score} AS s FROM embeddings q, embeddings d WHERE q.{ids} AND {where})
       WHERE {floor}) WHERE rank <= {k}"""
 
 
-@_query(_topk_sql("vec_id = 0", 10))
+@_query(_topk_sql("vec_id % 50 = 0", 10))
 def cosine_topk(t):
-    return _topk(t, "vec_id = 0", 10)
+    return _topk(t, "vec_id % 50 = 0", 10)
 
 
 @_query(_topk_sql("vec_id % 50 = 0", 5))
@@ -77,19 +77,19 @@ def cosine_topk_batch(t):
     return _topk(t, "vec_id % 50 = 0", 5)
 
 
-@_query(_topk_sql("vec_id = 0", 10, "d.label = 3"))
+@_query(_topk_sql("vec_id % 50 = 0", 10, "d.label = 3"))
 def filtered_topk(t):
-    return _topk(t, "vec_id = 0", 10, _vectors(t).where("label = 3"))
+    return _topk(t, "vec_id % 50 = 0", 10, _vectors(t).where("label = 3"))
 
 
-@_query(_topk_sql("vec_id = 1", 10, "d.label >= 2 AND d.label < 6"))
+@_query(_topk_sql("vec_id % 50 = 0", 10, "d.label >= 2 AND d.label < 6"))
 def function_filter_topk(t):
-    return _topk(t, "vec_id = 1", 10, search.apply_filter(_vectors(t), lambda c: (c >= 2) & (c < 6), meta="label"))
+    return _topk(t, "vec_id % 50 = 0", 10, search.apply_filter(_vectors(t), lambda c: (c >= 2) & (c < 6), meta="label"))
 
 
-@_query(_topk_sql("vec_id = 2", 20, floor="s >= 0.1"))
+@_query(_topk_sql("vec_id % 50 = 0", 20, floor="s >= 0.1"))
 def min_score_search(t):
-    return _topk(t, "vec_id = 2", 20, min_score=0.1)
+    return _topk(t, "vec_id % 50 = 0", 20, min_score=0.1)
 
 
 @_query("SELECT vec_id, 0.0::DOUBLE AS zero_score, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS self_score FROM embeddings")
@@ -99,7 +99,7 @@ def cosine_zero_guard(t):
 
 
 @_query(f"""SELECT query_id, count(*) FILTER (same) AS same_label, count(*) AS k FROM (
-  SELECT q.vec_id AS query_id, q.label = d.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, d.vec_id) AS rank
+  SELECT q.vec_id AS query_id, q.label = d.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 12) DESC, d.vec_id) AS rank
   FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0) WHERE rank <= 10 GROUP BY query_id""")
 def knn_label_vote(t):
     v = _vectors(t)
@@ -116,23 +116,35 @@ def mrl_reduce_16(t):
     return _vectors(t).select("vec_id", F.transform(vx.mrl_reduce(F.col("embedding"), 16, 64), lambda x: F.round(x, 5)).alias("reduced"))
 
 
-@_query(f"""SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
+@_query(f"""SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM (
   SELECT q.vec_id AS query_id, d.vec_id, list_cosine_similarity(q.m, d.m) AS s FROM (SELECT vec_id, {_MRL} AS m FROM embeddings) q, (SELECT vec_id, {_MRL} AS m FROM embeddings) d
-  WHERE q.vec_id < 5)) WHERE rank <= 5""")
+  WHERE q.vec_id % 50 = 0)) WHERE rank <= 5""")
 def mrl_topk(t):
     v = _vectors(t).withColumn("embedding", vx.mrl_reduce(F.col("embedding"), 16, 64))
-    hits = search.top_k(v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), v, 5, order="vec_id")
+    hits = search.top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 5, order="vec_id")
     return hits.select("query_id", "rank", "vec_id", _r(F.col("score")).alias("score"))
 
 
 def _char_sql(text: str, dim: int) -> str:
-    return f"list_transform(range({dim}), lambda j: coalesce(list_sum(list_transform(range(j + 1, length({text}) + 1, {dim}), lambda p: unicode({text}[p])::DOUBLE)), 0.0))"
+    """The embedding of a text, whose characters are split off once."""
+    raw = f"list_transform(range({dim}), lambda j: coalesce(list_sum(list_transform(range(j + 1, len(cs) + 1, {dim}), lambda p: cs[p])), 0.0))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::DOUBLE)"
+    return f"SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS e FROM (SELECT doc_id, {raw} AS v FROM (SELECT doc_id, {codes} AS cs FROM documents WHERE {text} <> ''))"
 
 
-@_query(f"SELECT doc_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 5)) AS embedding FROM (SELECT doc_id, {_char_sql('text', 8)} AS v FROM (SELECT doc_id, text[1:200] AS text FROM documents)) WHERE list_sum(v) > 0")
+@_query(f"SELECT doc_id, list_transform(e, lambda x: round(x, 5)) AS embedding FROM ({_char_sql('text', 8)})")
 def char_embed(t):
-    heads = t("documents").select("doc_id", F.substring("text", 1, 200).alias("text")).where("text <> ''")
-    return heads.select("doc_id", F.transform(vx.char_embed(F.col("text"), 8), lambda x: F.round(x, 5)).alias("embedding"))
+    return t("documents").where("text <> ''").select("doc_id", F.transform(vx.char_embed(F.col("text"), 8), lambda x: F.round(x, 5)).alias("embedding"))
+
+
+@_query(f"""WITH e AS ({_char_sql("text", 16)}) SELECT query_id, rank, doc_id, round(s, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, doc_id) AS rank FROM (
+    SELECT q.doc_id AS query_id, d.doc_id, list_cosine_similarity(q.e, d.e) AS s FROM e q, e d WHERE q.doc_id % 50 = 0)) WHERE rank <= 5""")
+def text_search_topk(t):
+    docs = t("documents").where("text <> ''").select("doc_id", "text")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    hits = search.text_search(docs, asked, 5, lambda x: vx.char_embed(x, 16), order="doc_id")
+    return hits.select("query_id", "rank", "doc_id", _r(F.col("score")).alias("score"))
 
 
 # --- text ------------------------------------------------------------------------------------------
@@ -180,12 +192,12 @@ def html_to_text(t):
     return t("pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
-_MD = "'# Title ' || doc_id || chr(10) || '**bold** and *it* `c' || '` [l](http://x) ' || text"
+_MD = "'# Title ' || doc_id || chr(10) || '**bold** and *it* `c' || '` [l](http://x) ```' || chr(10) || 'x = 1' || chr(10) || '``` ' || text || chr(10) || '```' || chr(10) || '```'"
 
 
-@_query("SELECT doc_id, " + _nested(f"({_MD})", [s for s in tx.MARKDOWN_STEPS if "```" not in s[0]]) + " AS text FROM documents")
+@_query("SELECT doc_id, " + _nested(f"({_MD})", tx.MARKDOWN_STEPS) + " AS text FROM documents")
 def strip_markdown(t):
-    md = F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n**bold** and *it* `c` [l](http://x) "), F.col("text"))
+    md = F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n**bold** and *it* `c` [l](http://x) ```\nx = 1\n``` "), F.col("text"), F.lit("\n```\n```"))
     return t("documents").select("doc_id", tx.strip_markdown(md).alias("text"))
 
 
@@ -231,6 +243,22 @@ def chunk_text(t):
     return t("documents").select("doc_id", F.posexplode(ch.chunk_text(F.col("text"), 500, 50, "\n")).alias("chunk_index", "chunk"))
 
 
+_FENCED = "text || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || text"
+_TRIMMED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@_query(f"""WITH m AS (SELECT doc_id, {_FENCED} AS t FROM documents), st AS (SELECT doc_id, t,
+  list_reduce(list_prepend({{'cur': '', 'open': false, 'out': []::VARCHAR[]}}, list_transform(string_split(t, chr(10)), lambda x: {{'cur': x, 'open': false, 'out': []::VARCHAR[]}})),
+    lambda a, x: CASE WHEN a.open = starts_with({_TRIMMED.format("x.cur")}, '```') AND length(a.cur) + length(x.cur) + 1 > 1000 AND a.cur <> ''
+      THEN {{'cur': array_to_string(string_split(a.cur, chr(10))[-2:], chr(10)) || chr(10) || x.cur || chr(10), 'open': false, 'out': list_append(a.out, {_TRIMMED.format("a.cur")})}}
+      ELSE {{'cur': a.cur || x.cur || chr(10), 'open': a.open <> starts_with({_TRIMMED.format("x.cur")}, '```'), 'out': a.out}} END) AS r FROM m),
+  c AS (SELECT doc_id, list_filter(CASE WHEN length(t) <= 1000 THEN [t] ELSE list_append(r.out, {_TRIMMED.format("r.cur")}) END, lambda x: x <> '') AS c FROM st)
+  SELECT doc_id, unnest(range(len(c))) AS chunk_index, unnest(c) AS chunk FROM c""")
+def chunk_markdown(t):
+    md = F.concat("text", F.lit("\n```\n"), "text", F.lit("\n```\n"), "text")
+    return t("documents").select("doc_id", F.posexplode(ch.chunk_markdown(md)).alias("chunk_index", "chunk"))
+
+
 @_query(f"SELECT doc_id::VARCHAR || '_chunk_' || chunk_index AS chunk_id, doc_id AS original_id, chunk_index, n AS total_chunks, source FROM (SELECT p.doc_id, d.source, len(c) AS n, unnest(range(len(c))) AS chunk_index FROM ({_PACKED}) p JOIN documents d USING (doc_id))")
 def chunk_documents_meta(t):
     out = ch.chunk_documents(t("documents"), "doc_id", size=500, overlap=50, separator="\n")
@@ -399,12 +427,12 @@ def stats(t):
 
 
 def _hits(t):
-    docs = t("documents").where("doc_id < 300")
-    return docs.select((F.col("doc_id") % 60).alias("query_id"), F.floor(F.col("doc_id") / 60 + 1).cast("int").alias("rank"), (F.col("doc_id") % 97 / 97.0).alias("score"), F.substring("text", 1, 80).alias("text"), F.concat(F.lit("q"), (F.col("doc_id") % 60).cast("string")).alias("query"), F.create_map(F.lit("source"), "source").alias("meta"))
+    """Five documents a query, whole; every document is a hit of one."""
+    return t("documents").select(F.floor(F.col("doc_id") / 5).alias("query_id"), (F.col("doc_id") % 5 + 1).cast("int").alias("rank"), (F.col("doc_id") % 97 / 97.0).alias("score"), "text", F.concat(F.lit("q"), F.floor(F.col("doc_id") / 5).cast("string")).alias("query"), F.create_map(F.lit("source"), "source").alias("meta"))
 
 
-_ONE = "'Doc ' || (doc_id // 60 + 1)::INT || ' (score: ' || printf('%.3f', (doc_id % 97) / 97.0::DOUBLE) || ') [source=' || source || ']:' || chr(10) || text[1:80]"
-_CTX = f"SELECT doc_id % 60 AS query_id, string_agg({_ONE}, chr(10) || chr(10) ORDER BY doc_id) AS context FROM documents WHERE doc_id < 300 GROUP BY 1"
+_ONE = "'Doc ' || (doc_id % 5 + 1)::INT || ' (score: ' || printf('%.3f', (doc_id % 97) / 97.0::DOUBLE) || ') [source=' || source || ']:' || chr(10) || text"
+_CTX = f"SELECT doc_id // 5 AS query_id, string_agg({_ONE}, chr(10) || chr(10) ORDER BY doc_id) AS context FROM documents GROUP BY 1"
 
 
 @_query(_CTX)
@@ -448,8 +476,8 @@ def session_summary(t):
 @_query("SELECT event_id FROM events WHERE ts BETWEEN (SELECT min(ts) FROM events) + INTERVAL 1 DAY AND (SELECT min(ts) FROM events) + INTERVAL 3 DAY")
 def events_in_range(t):
     e = t("events")
-    first = F.broadcast(e.agg(F.min("ts").alias("first")))
-    return e.join(first).where("ts BETWEEN first + INTERVAL 1 DAY AND first + INTERVAL 3 DAYS").select("event_id")
+    first = e.agg(F.min("ts")).scalar()
+    return e.where((F.col("ts") >= first + F.expr("INTERVAL 1 DAY")) & (F.col("ts") <= first + F.expr("INTERVAL 3 DAYS"))).select("event_id")
 
 
 @_query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS running_avg FROM events")
