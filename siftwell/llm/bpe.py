@@ -404,7 +404,8 @@ class Coder:
 
     def _learn(self, new: set[str]) -> None:
         """Resolve words that are not held: from the words held before, the lexicon, or by merges."""
-        kept = new.intersection(self.before[0])
+        known = self.before[0]
+        kept = [w for w in new if w in known]
         if kept:
             for memo, before in zip(self.memo, self.before, strict=True):
                 memo.update((w, before[w]) for w in kept)

@@ -4,8 +4,9 @@ A hash rolled over the hashes of two neighbouring lines decides whether a chunk
 moves only the boundaries beside it. Chunks of several lines that are found again anywhere in the corpus,
 byte for byte, are removed except where they come first (by doc_id, then place). As boundaries near the ends
 of a passage depend on what is around it, a repeat then takes in the lines beside it that are also beside its
-first occurrence. A line of ``PASSAGE`` words or more is a passage by itself: it is a chunk of its own and may go
-like chunks of several lines. DataFrame functions only.
+first occurrence (up to ``BESIDE`` on either side, by their hashes). A chunk of one line goes only as part of such a run, of ``RUN`` lines or more. A line of
+``PASSAGE`` words or more is a passage by itself: it is a chunk of its own and may go like chunks of several
+lines. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import digest_of, join_per_key, materialize, read_table, text_or_empty
 
 #: One in so many lines ends a chunk.
-DIVISOR = 3
+DIVISOR = 2
+#: Lines of a repeated run that takes a chunk of one line with it.
+RUN = 3
+#: Lines on either side of a chunk that a repeat may take in.
+BESIDE = 6
 #: Words (by spaces) from which a single line counts as a passage of its own; None: no line does.
 PASSAGE: int | None = 50
 
 _LAST = 2**63 - 1
-_LINES = "array<string>"
 
 
 def _words(line: Column) -> Column:
@@ -34,12 +38,17 @@ def _let(value: Column, use) -> Column:
 
 
 def chunks_of(text: Column, passage: int | None = PASSAGE) -> Column:
-    """``array<struct<lines, whole>>``; ``whole``: several lines or a passage, and not only white space."""
+    """``array<struct<pos, body, whole, filled, prev, next>>``.
+
+    ``pos``: the first line's number; ``body``: the lines; ``whole``: several lines or a passage; ``filled``: not only
+    white space; ``prev`` and ``next``: hashes of the lines beside.
+    """
 
     def cut(lines: Column) -> Column:
         hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
         long = F.transform(lines, lambda x: _words(x) >= passage if passage else F.lit(False))
-        return _let(F.struct(hashes.alias("h"), long.alias("long")), lambda of: _let(starts(lines, of), lambda at: F.transform(at, lambda s, k: chunk(lines, of, at, s, k))))
+        known = F.struct(hashes.alias("h"), long.alias("long"), F.transform(lines, lambda x: F.xxhash64(x)).alias("x"))
+        return _let(known, lambda of: _let(starts(lines, of), lambda at: F.transform(at, lambda s, k: chunk(lines, of, at, s, k))))
 
     def starts(lines: Column, of: Column) -> Column:
         rolled = lambda i: (F.get(of["h"], i - 2) * 31 + F.get(of["h"], i - 1)) % DIVISOR == 0  # noqa: E731  over the two lines before i
@@ -47,69 +56,63 @@ def chunks_of(text: Column, passage: int | None = PASSAGE) -> Column:
 
     def chunk(lines: Column, of: Column, at: Column, s: Column, k: Column) -> Column:
         n = F.coalesce(F.get(at, k + 1), F.size(lines)) - s
-        own = F.slice(lines, s + 1, n)
-        return F.struct(own.alias("lines"), (((n > 1) | F.get(of["long"], s)) & F.exists(own, lambda x: F.trim(x) != "")).alias("whole"))
+        own, near = F.slice(lines, s + 1, n), F.least(s, F.lit(BESIDE))
+        return F.struct(
+            s.alias("pos"), own.alias("body"), ((n > 1) | F.get(of["long"], s)).alias("whole"), F.exists(own, lambda x: F.trim(x) != "").alias("filled"),
+            F.slice(of["x"], s - near + 1, near).alias("prev"), F.slice(of["x"], s + n + 1, F.lit(BESIDE)).alias("next"),
+        )
 
     return _let(F.split(text, "\n", -1), cut)
 
 
 def _common(a: Column, b: Column) -> Column:
-    """How many lines from the start on are the same, byte for byte; null counts as none."""
+    """How many elements from the start on are the same."""
     differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-    return F.coalesce(F.when(differs > 0, differs - 1).otherwise(F.least(F.size(a), F.size(b))), F.lit(0)).cast("int")
+    return F.when(differs > 0, differs - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
 
 
 def repeats(rows: DataFrame, passage: int | None = PASSAGE) -> DataFrame:
-    """``doc, key, pos, gone, before, after`` of every chunk that is there more than once, from rows ``doc, key, text``.
+    """``doc, key, pos, n, gone, before, after`` of chunks that are there more than once, from rows ``doc, key, text``.
 
-    ``gone``: it came before; ``before`` and ``after``: lines beside it that came before, too.
+    ``pos`` and ``n``: the chunk's lines; ``gone``: it came before and goes; ``before`` and ``after``: lines beside it that
+    came before, too. Chunks of one line that stay are left out.
     """
-    cut = rows.select("doc", "key", chunks_of(F.col("text"), passage).alias("chunks")).select("doc", "key", "chunks", F.posexplode("chunks").alias("pos", "c")).where("c.whole")
-    beside = lambda step: F.get("chunks", F.col("pos") + step)["lines"]
-    each = cut.select("doc", "key", "pos", F.col("c.lines").alias("body"), F.xxhash64("c.lines").alias("h"), beside(-1).alias("prev"), beside(1).alias("next"))
+    cut = rows.select("doc", "key", F.explode(chunks_of(F.col("text"), passage)).alias("c")).where("c.filled")
+    each = cut.select("doc", "key", "c.pos", "c.whole", "c.body", "c.prev", "c.next", F.xxhash64("c.body").alias("h"))
     # Thin rows first: hashes that are there once need no look at their bytes.
     twice = materialize(each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "line-hashes")
     suspects = join_per_key(each, twice, "h", how="inner", spread=["doc", "key", "pos"]).drop("h")
-    suspects = materialize(suspects.withColumn("digest", F.sha2(F.array_join("body", "\n"), 256)), "line-suspects")
+    suspects = materialize(suspects.withColumn("digest", F.sha2(F.concat(F.col("whole").cast("string"), F.array_join("body", "\n")), 256)), "line-suspects")
     place = F.struct("doc", "key", "pos")
     # Grouping on the lines compares their bytes; map tasks fold their own copies first.
-    firsts = suspects.groupBy("body").agg(F.min(F.struct(place.alias("at"), "prev", "next")).alias("first"), F.first("digest").alias("digest"), F.count("*").alias("size"))
+    firsts = suspects.groupBy("body", "whole").agg(F.min(F.struct(place.alias("at"), "prev", "next")).alias("first"), F.first("digest").alias("digest"), F.count("*").alias("size"))
     firsts = materialize(firsts.where("size > 1").select("digest", "first", "size"), "line-firsts")
-    again = join_per_key(suspects.drop("body"), firsts, "digest", how="inner", spread=["doc", "key", "pos"])
-    gone = place != F.col("first.at")
-    before = F.when(gone, _common(F.reverse("prev"), F.reverse("first.prev"))).otherwise(0)
-    after = F.when(gone, _common(F.col("next"), F.col("first.next"))).otherwise(0)
-    return again.select("doc", "key", "pos", gone.alias("gone"), before.alias("before"), after.alias("after"))
-
-
-_MARK = "struct<pos:int,gone:boolean,before:int,after:int>"
-
-
-def _by_place(marks: Column, n: Column) -> Column:
-    """The marks, in order of place, as an array with one element for each of ``n`` chunks, null where there is no mark."""
-
-    def fill(m: Column) -> Column:
-        at = lambda j: F.get(m, j)["pos"]
-        gap = lambda j: F.coalesce(at(j), n) - F.coalesce(at(j - 1), F.lit(-1)) - 1
-        none = F.lit(None).cast(_MARK)
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(m)), lambda j: F.concat(F.array_repeat(none, gap(j)), F.when(j < F.size(m), F.array(F.get(m, j))).otherwise(F.array().cast(f"array<{_MARK}>")))))
-
-    return _let(F.array_sort(marks), fill)
+    thin = suspects.withColumn("n", F.size("body")).drop("body")
+    again = join_per_key(thin, firsts, "digest", how="inner", spread=["doc", "key", "pos"])
+    before, after = _common(F.reverse("prev"), F.reverse("first.prev")), _common(F.col("next"), F.col("first.next"))
+    found = again.select("doc", "key", "pos", "n", "whole", (place != F.col("first.at")).alias("again"), before.alias("before"), after.alias("after"))
+    gone = F.col("again") & (F.col("whole") | (F.col("before") + F.col("after") >= RUN - 1))
+    return found.withColumn("gone", gone).where("gone OR whole").drop("whole", "again")
 
 
-def _kept(chunks: Column, marks: Column) -> Column:
-    """The lines of each chunk that stay. Chunks that come first, or whose like is elsewhere, are not trimmed."""
-    extent = lambda m, side: F.coalesce(F.when(m["gone"], m[side]), F.lit(0))
+def _left(lines: Column, marks: Column) -> Column:
+    """The lines that stay: all but those of chunks that go and those beside them; whole chunks whose like went elsewhere are not trimmed."""
+    none = F.array().cast("array<int>")
+    span = lambda a, n: F.when(n > 0, F.sequence(a, a + F.greatest(n, F.lit(1)) - 1)).otherwise(none)
+    every = lambda which, spans: F.flatten(F.transform(F.filter(marks, which), spans))
+    goes, stays = (lambda m: m["gone"]), (lambda m: ~m["gone"])
+    own = every(goes, lambda m: span(m["pos"], m["n"]))
+    beside = every(goes, lambda m: F.concat(span(m["pos"] - m["before"], m["before"]), span(m["pos"] + m["n"], m["after"])))
+    removed = F.array_sort(F.array_union(own, F.array_except(beside, every(stays, lambda m: span(m["pos"], m["n"])))))
 
-    def one(at: Column) -> Column:
-        def lines(c: Column, i: Column) -> Column:
-            own, head, tail, n = F.get(at, i), extent(F.get(at, i - 1), "after"), extent(F.get(at, i + 1), "before"), F.size(c["lines"])
-            trimmed = F.slice(c["lines"], head + 1, F.greatest(n - head - tail, F.lit(0)))
-            return F.when(own.isNull(), trimmed).when(own["gone"], F.array().cast(_LINES)).otherwise(c["lines"])
+    def gaps(out: Column) -> Column:
+        def gap(j: Column) -> Column:
+            start = F.coalesce(F.get(out, j - 1) + 1, F.lit(0))
+            return F.slice(lines, start + 1, F.coalesce(F.get(out, j), F.size(lines)) - start)
 
-        return F.flatten(F.transform(chunks, lines))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(out)), gap))
 
-    return F.when(marks.isNull(), F.flatten(F.transform(chunks, lambda c: c["lines"]))).otherwise(_let(_by_place(marks, F.size(chunks)), one))
+    return _let(removed, gaps)
 
 
 def deduplicate(docs: DataFrame, passage: int | None = PASSAGE) -> DataFrame:
@@ -122,17 +125,14 @@ def deduplicate(docs: DataFrame, passage: int | None = PASSAGE) -> DataFrame:
     """
     base = docs.drop("n_lines", "n_removed")
     ends = "_" * max(map(len, base.columns))
-    doc, key, marks, kept, parts = (f"{k}{ends}" for k in ("_doc", "_key", "_marks", "_kept", "_parts"))
-    text = text_or_empty()
-    named = base.withColumn("text", text).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(key, digest_of(F.col("text")))
+    doc, key, marks, kept = (f"{k}{ends}" for k in ("_doc", "_key", "_marks", "_kept"))
+    named = base.withColumn("text", text_or_empty()).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(key, digest_of(F.col("text")))
     found = repeats(named.select(F.col(doc).alias("doc"), F.col(key).alias("key"), "text"), passage).dropDuplicates(["doc", "key", "pos"])
-    by_row = found.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(F.collect_list(F.struct("pos", "gone", "before", "after")).alias(marks))
-    # The chunks are cut anew after the join, so that text moves only once.
-    cut = named.join(by_row, [doc, key], "left").withColumn(parts, F.when(F.col(marks).isNotNull(), chunks_of(F.col("text"), passage)))
-    cut = cut.withColumn(kept, F.when(F.col(marks).isNotNull(), _kept(F.col(parts), F.col(marks))))
+    by_row = found.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(F.collect_list(F.struct("pos", "n", "gone", "before", "after")).alias(marks))
+    cut = named.join(by_row, [doc, key], "left").withColumn(kept, F.when(F.exists(marks, lambda m: m["gone"]), _left(F.split("text", "\n", -1), F.col(marks))))
     lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     out = cut.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size(kept), F.lit(0)).cast("long"))
-    left = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    left = F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.withColumn("text", left).select(*base.columns, "n_lines", "n_removed")
 
 
@@ -150,17 +150,19 @@ h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1,
              list_transform(ls, lambda x: length(x) - length(replace(x, ' ', '')) + 1 >= {PASSAGE}) AS lg FROM l),
 s AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: i = 1 OR lg[i] OR lg[i - 1] OR (i > 2 AND (hs[i - 2] * 31 + hs[i - 1]) % {DIVISOR} = 0)) AS st FROM h),
 c AS (SELECT doc_id, ls, lg, st, unnest(range(1, len(st) + 1)) AS k FROM s),
-e AS (SELECT doc_id, k, lg[st[k]] AS long_line, ls[st[k] : coalesce(st[k + 1], len(ls) + 1) - 1] AS own FROM c),
-w AS (SELECT *, len(own) AS n, (len(own) > 1 OR long_line) AND trim(array_to_string(own, ' ')) <> '' AS whole FROM e),
-r AS (SELECT *, count(*) OVER p > 1 AND whole AS twice, first_value(doc_id) OVER f AS first_doc, first_value(k) OVER f AS first_k,
-             lag(own) OVER d AS prev, lead(own) OVER d AS next FROM w
-      WINDOW p AS (PARTITION BY own, whole), f AS (PARTITION BY own, whole ORDER BY doc_id, k), d AS (PARTITION BY doc_id ORDER BY k)),
-g AS (SELECT r.doc_id, r.k, {_same_lines("list_reverse(r.prev)", "list_reverse(f.prev)")} AS before, {_same_lines("r.next", "f.next")} AS after
-      FROM r JOIN r f ON f.doc_id = r.first_doc AND f.k = r.first_k WHERE r.twice AND (r.doc_id <> r.first_doc OR r.k <> r.first_k)),
-t AS (SELECT r.doc_id, r.k, r.n, r.own, r.twice, o.k IS NOT NULL AS gone, coalesce(a.after, 0) AS head, coalesce(b.before, 0) AS tail FROM r
-      LEFT JOIN g o ON o.doc_id = r.doc_id AND o.k = r.k LEFT JOIN g a ON a.doc_id = r.doc_id AND a.k = r.k - 1 LEFT JOIN g b ON b.doc_id = r.doc_id AND b.k = r.k + 1),
-x AS (SELECT doc_id, k, n, CASE WHEN gone THEN [] WHEN twice THEN own WHEN head + tail >= n THEN [] ELSE own[head + 1 : n - tail] END AS kept FROM t)
-SELECT doc_id, coalesce(string_agg(array_to_string(kept, chr(10)), chr(10) ORDER BY k) FILTER (len(kept) > 0), '') AS text, sum(n)::BIGINT AS n_lines,
-       sum(n - len(kept))::BIGINT AS n_removed
-FROM x GROUP BY doc_id
+e AS (SELECT doc_id, st[k] AS pos, lg[st[k]] AS long_line, ls[st[k] : coalesce(st[k + 1], len(ls) + 1) - 1] AS body,
+             list_reverse(ls[greatest(st[k] - {BESIDE}, 1) : st[k] - 1]) AS prev,
+             ls[coalesce(st[k + 1], len(ls) + 1) : coalesce(st[k + 1], len(ls) + 1) + {BESIDE} - 1] AS next FROM c),
+w AS (SELECT *, len(body) AS n, len(body) > 1 OR long_line AS whole FROM e WHERE trim(array_to_string(body, ' ')) <> ''),
+r AS (SELECT *, count(*) OVER p AS times, first_value(doc_id) OVER f AS first_doc, first_value(pos) OVER f AS first_pos FROM w
+      WINDOW p AS (PARTITION BY body, whole), f AS (PARTITION BY body, whole ORDER BY doc_id, pos)),
+m AS (SELECT r.*, {_same_lines("r.prev", "f.prev")} AS before, {_same_lines("r.next", "f.next")} AS after
+      FROM r JOIN r f ON f.doc_id = r.first_doc AND f.pos = r.first_pos WHERE r.times > 1),
+g AS (SELECT * FROM m WHERE (doc_id <> first_doc OR pos <> first_pos) AND (whole OR before + after >= {RUN} - 1)),
+q AS (SELECT m.doc_id, unnest(range(m.pos, m.pos + m.n)) AS i FROM m ANTI JOIN g USING (doc_id, pos) WHERE m.whole),
+b AS (SELECT doc_id, unnest(list_concat(range(pos - before, pos), range(pos + n, pos + n + after))) AS i FROM g),
+x AS (SELECT doc_id, unnest(range(pos, pos + n)) AS i FROM g UNION (SELECT * FROM b EXCEPT SELECT * FROM q)),
+y AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM l)
+SELECT y.doc_id, coalesce(string_agg(line, chr(10) ORDER BY y.i) FILTER (x.i IS NULL), '') AS text, count(*) AS n_lines, count(x.i) AS n_removed
+FROM y LEFT JOIN x ON x.doc_id = y.doc_id AND x.i = y.i GROUP BY y.doc_id
 """
