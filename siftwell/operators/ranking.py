@@ -52,14 +52,25 @@ def keyword_match(query: Column, text: Column) -> Column:
     return F.coalesce(F.size(tx.matched(terms, text)) / F.nullif(F.size(terms), F.lit(0)), F.lit(0.0))
 
 
-def score(hits: DataFrame, factors: dict[str, Column], weights: dict[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
-    """Adds ``weighted_score``, ``score_breakdown`` (score, weight and share of each factor) and ``original_score``."""
+def score(hits: DataFrame, factors: dict[str, Column], weights: dict[str, float] = DEFAULT_WEIGHTS, weight_of: Column | None = None) -> DataFrame:
+    """Adds ``weighted_score``, ``score_breakdown`` (score, weight and share of each factor) and ``original_score``.
+
+    ``weight_of``, a map, gives each row its own weights for the factors that ``weights`` names.
+    """
+    given = weights
+    weights = {k: F.lit(w) if weight_of is None else F.coalesce(weight_of[k], F.lit(0.0)) for k, w in given.items()}
     part = lambda k: F.coalesce(factors.get(k, F.lit(0.0)), F.lit(0.0))
-    breakdown = F.struct(*(F.struct(part(k).alias("score"), F.lit(w).alias("weight"), (part(k) * F.lit(w)).alias("contribution")).alias(k) for k, w in weights.items()))
+    breakdown = F.struct(*(F.struct(part(k).alias("score"), w.alias("weight"), (part(k) * w).alias("contribution")).alias(k) for k, w in weights.items()))
     out = hits.withColumn("score_breakdown", breakdown).withColumn("original_score", F.col("score"))
     return out.withColumn("weighted_score", sum((F.col(f"score_breakdown.{k}.contribution") for k in weights), F.lit(0.0)))
 
 
+def answer_quality(scored: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """``query_id, similarity, recency, source_quality, coverage``: means over the results of ``score``."""
+    mean = lambda k, name: F.avg(F.col(f"score_breakdown.{k}.score")).alias(name)
+    return scored.groupBy(query_id).agg(mean("semanticSimilarity", "similarity"), mean("recency", "recency"), mean("sourceQuality", "source_quality"), mean("keywordMatch", "coverage"))
+
+
 def remove_duplicates(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
     """Of results of a query that agree in their first hundred characters the best ranked stays."""
     w = W.partitionBy(query_id, "_print").orderBy(F.desc("weighted_score"), "rank")
@@ -78,7 +89,7 @@ def drop_low_quality(hits: DataFrame, source: str = "source") -> DataFrame:
     return hits.where(~low)
 
 
-def rerank(hits: DataFrame, k: int, as_of: Column, *, weights: dict[str, float] = DEFAULT_WEIGHTS, context_relevance: float = 0.5, critical: bool = False, patterns: list[str] | None = None) -> DataFrame:
+def rerank(hits: DataFrame, k: int, as_of: Column, *, weights: dict[str, float] = DEFAULT_WEIGHTS, weight_of: Column | None = None, context_relevance: float = 0.5, critical: bool = False, patterns: list[str] | None = None) -> DataFrame:
     """Of up to 2k candidates a query (query_id, query, rank, score, text, source, date) the best k by weighted score."""
     scored = score(
         hits,
@@ -86,8 +97,10 @@ def rerank(hits: DataFrame, k: int, as_of: Column, *, weights: dict[str, float]
             "semanticSimilarity": F.col("score"), "keywordMatch": keyword_match(F.col("query"), F.col("text")), "recency": recency(F.col("date"), as_of),
             "sourceQuality": source_quality(F.col("source")), "contextRelevance": F.lit(context_relevance or 0.5),
         },
-        weights,
+        weights, weight_of,
     )
+    # Sums of products differ in their last places by the order of work; ranks must not.
+    scored = scored.withColumn("weighted_score", F.round("weighted_score", 9))
     out = remove_duplicates(scored)
     out = boost(out, patterns) if patterns else out
     out = drop_low_quality(out) if critical else out

@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 HISTORY = 100
 #: Words that tell a time-sensitive and a technical query.
 NEWS, TECHNICAL = r"\b(latest|new|recent|current|today)\b", r"\b(code|api|function|error|bug)\b"
+#: What the built-in rules say.
 SUGGEST = {
     "boost-recent-for-news": "Time-sensitive query detected. Prioritizing recent documents.",
     "expand-short-query": "Single-word queries may return broad results. Consider adding more context.",
     "suggest-technical-filters": "Technical query detected. Consider filtering by source:documentation or source:official",
 }
+#: Weights that a time-sensitive query sets.
+NEWS_WEIGHTS = {"recency": 0.4, "semanticSimilarity": 0.35}
+#: The rule that is learned from short queries with poor results, and what it says.
+LEARNED, LEARNED_SUGGESTION = "expand-short-queries", "Consider adding more specific terms to improve results"
 
 
 @dataclass
@@ -41,7 +46,7 @@ class RuleEngine:
 
         def news(q: str, c: dict) -> dict:
             if "weights" in c:
-                c["weights"] = c["weights"] | {"recency": 0.4, "semanticSimilarity": 0.35}
+                c["weights"] = c["weights"] | NEWS_WEIGHTS
             return {"query": q, "suggestion": SUGGEST["boost-recent-for-news"]}
 
         e.add("expand-short-query", lambda q, c: len(q.split(" ")) == 1, say("expand-short-query"), 5)
@@ -87,10 +92,9 @@ def mine_patterns(history: DataFrame, rating: str = "feedback", query: str = "qu
     Nothing is learned from ten such queries or fewer.
     """
     good = history.where(F.col(rating) >= 4)
-    enough = good.agg((F.count("*") > 10).alias("enough"))
     words = good.select(F.col(order).alias("o"), F.posexplode(F.split(F.col(query), " ", -1)).alias("p", "term"))
     counts = words.groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("o", "p")).alias("first")).where("n >= 3")
-    return counts.join(F.broadcast(enough)).where("enough").orderBy(F.desc("n"), "first").limit(10).select("term", "n")
+    return counts.where(good.agg(F.count("*") > 10).scalar()).orderBy(F.desc("n"), "first").limit(10).select("term", "n")
 
 
 def too_many_short(history: DataFrame) -> DataFrame:

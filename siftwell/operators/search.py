@@ -73,8 +73,8 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int = 3, *, min_score: float |
         best = plain.mapInPandas(lambda batches: _best(shared.value, batches, k, min_score, query_id), schema)
     else:
         rows, columns = -(-many // QUERY_BLOCK), max(1, -(-docs.count() // DOC_BLOCK))
-        q = asked.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(rows))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-        d = plain.withColumn("_d", F.pmod(F.xxhash64("_order"), F.lit(columns)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long"))
+        q = asked.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(rows)).cast("int")).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+        d = plain.withColumn("_d", F.pmod(F.xxhash64("_order"), F.lit(columns)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
         def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             found = [*_best(_matrices(left[query_id].tolist(), left["embedding"].tolist()), [right], k, min_score, query_id)]
@@ -137,17 +137,27 @@ def with_explanation(hits: DataFrame, query: str = "query", text: str = "text",
 
 
 def text_search(docs: DataFrame, queries: DataFrame, k: int = 3, embed: Callable[[Column], Column] = vx.char_embed, **options) -> DataFrame:
-    """``top_k`` for texts: ``queries(query_id, query)`` against ``docs(seq, text, ...)``; given embeddings are kept."""
-    have = F.col("embedding") if "embedding" in docs.columns else F.lit(None).cast("array<double>")
-    hits = top_k(queries.withColumn("embedding", embed(F.col("query"))), docs.withColumn("embedding", F.when(have.isNotNull(), have).otherwise(embed(F.col("text")))), k, **options)
+    """``top_k`` for texts: ``queries(query_id, query)`` against ``docs(seq, text, ...)``; given embeddings on either side are kept."""
+    hits = top_k(_embedded(queries, "query", embed), _embedded(docs, "text", embed), k, **options)
     return hits.join(queries.select("query_id", "query"), "query_id")
 
 
+def _embedded(rows: DataFrame, text: str, embed: Callable[[Column], Column]) -> DataFrame:
+    """Only rows without an embedding are embedded."""
+    if "embedding" not in rows.columns:
+        return rows.withColumn("embedding", embed(F.col(text)))
+    if not rows.schema["embedding"].nullable:
+        return rows
+    kind = F.col("embedding").cast("array<double>")
+    lacking = rows.where("embedding IS NULL").withColumn("embedding", embed(F.col(text)))
+    return rows.where("embedding IS NOT NULL").withColumn("embedding", kind).unionByName(lacking)
+
+
 class Retriever:
-    """Defaults for k and filter around ``text_search``; a filter given with a call overrides the default."""
+    """Defaults for k and filter around ``text_search``; a filter given with a call overrides the default. ``order`` is the documents' key."""
 
-    def __init__(self, docs: DataFrame, k: int = 3, filter=None, embed=vx.char_embed):  # noqa: A002
-        self.docs, self.embed = docs, embed
+    def __init__(self, docs: DataFrame, k: int = 3, filter=None, embed=vx.char_embed, order: str = "seq"):  # noqa: A002
+        self.docs, self.embed, self.order = docs, embed, order
         self.configure(k, filter)
 
     def configure(self, k: int | None = None, filter=None) -> None:  # noqa: A002
@@ -155,5 +165,5 @@ class Retriever:
 
     def get_relevant(self, queries: DataFrame, k: int | None = None, *, filter=None, filters=None, explain: bool = False, min_score: float | None = None) -> DataFrame:  # noqa: A002
         wanted = filter if filter is not None else self.filter if self.filter is not None else filters
-        hits = text_search(apply_filter(self.docs, wanted), queries, k or self.k, self.embed, min_score=min_score)
+        hits = text_search(apply_filter(self.docs, wanted), queries, k or self.k, self.embed, min_score=min_score, order=self.order)
         return with_explanation(hits, meta="meta" if "meta" in self.docs.columns else None) if explain else hits

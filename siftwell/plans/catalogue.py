@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwell import clients
 from siftwell.functions import chunking as ch
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vx
-from siftwell.operators import observe, prompts, ranking, rules, search, store
+from siftwell.operators import observe, prompts, rag, ranking, rules, search, smart, store
 from siftwell.session import ship
+from siftwell.sources import loaders
 from siftwell.streaming import telemetry
 
 _QUERIES: dict = {}
@@ -332,6 +334,35 @@ def smart_retrieval(t):
     return top.withColumn("final_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weighted_score"), "rank"))).select("doc_id", "final_rank")
 
 
+_CANDIDATES = f"""SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({_COS}, 12) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0 AND d.vec_id IN (SELECT doc_id FROM documents)"""
+#: Weights that the time-sensitive rule changes, and which are then divided by their sum.
+_NEWS = "(0.35 * score + 0.2 * kw + 0.4 * rec + 0.1 * q + 0.05 * 0.5) / 1.1"
+
+
+@_query(f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_CANDIDATES})),
+  b AS (SELECT c.query_id, c.doc_id, c.rank, c.score, text, len({_FOUND}) / len({_TERMS}) AS kw, {_REC} AS rec, {_QUAL}::DOUBLE AS q
+        FROM c JOIN (SELECT *, {_SRC} AS src FROM documents) d USING (doc_id) WHERE c.rank <= 10),
+  w AS (SELECT *, round({_NEWS}, 9) AS weighted FROM b),
+  u AS (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(lower(text[1:100]), '^\\s+|\\s+$', '', 'g') ORDER BY weighted DESC, rank) AS n FROM w)
+  SELECT query_id, final_rank, doc_id, round(weighted, 6) AS weighted_score, rules FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weighted DESC, rank) AS final_rank, 'boost-recent-for-news' AS rules FROM u WHERE n = 1) WHERE final_rank <= 5""")
+def smart_retriever(t):
+    v, d = _vectors(t), _candidates(t).drop("score").withColumnRenamed("doc_id", "vec_id")
+    docs = v.join(d, "vec_id")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(_Q).alias("query"), "embedding")
+    retriever = smart.create_smart_retriever(search.Retriever(docs, order="vec_id"))
+    got = retriever.get_relevant(asked, 5, as_of=F.lit(AS_OF).cast("timestamp"), weights=dict(ranking.DEFAULT_WEIGHTS))
+    said = got.decisions.select("query_id", F.array_join("applied_rules", ",").alias("rules"))
+    return got.results.join(said, "query_id").select("query_id", "final_rank", F.col("vec_id").alias("doc_id"), _r(F.col("weighted_score")).alias("weighted_score"), "rules")
+
+
+@_query(f"""SELECT query_id, round(avg(score), 6) AS similarity, round(avg(rec), 6) AS recency, round(avg(q), 6) AS source_quality, round(avg(kw), 6) AS coverage
+  FROM (SELECT *, doc_id // 5 AS query_id FROM ({_BASE})) GROUP BY query_id""")
+def answer_quality(t):
+    rows = _scored(t).withColumn("query_id", F.floor(F.col("doc_id") / 5))
+    return ranking.answer_quality(rows).select("query_id", *(_r(F.col(c)).alias(c) for c in ("similarity", "recency", "source_quality", "coverage")))
+
+
 @_query(f"SELECT doc_id FROM ({_BASE}) WHERE NOT (regexp_matches(lower(src), 'social|forum|comment') AND score < 0.6)")
 def critical_filter(t):
     return ranking.drop_low_quality(_candidates(t)).select("doc_id")
@@ -455,9 +486,91 @@ for _name in prompts.TEMPLATES:
     _prompt(_name)
 
 
+@_query(f"SELECT query_id, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: q' || query_id || chr(10) || chr(10) || 'Answer based on the context:' AS prompt, 'Answer based on the context:' AS response FROM ({_CTX})")
+def rag_answers(t):
+    return rag.generate_with_rag(_hits(t), clients.Echo(), "echo", scores=True, meta="meta").select("query_id", "prompt", "response")
+
+
+@_query(f"SELECT query_id, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: q' || query_id || chr(10) || chr(10) || 'Answer:' AS prompt FROM ({_CTX})")
+def rag_text_template(t):
+    ctx = prompts.context(_hits(t), scores=True, meta="meta").withColumn("query", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    return rag.default_prompt(ctx, "technical").select("query_id", "prompt")
+
+
+_OLD = "'Doc ' || (doc_id % 5 + 1)::INT || ' (score=' || printf('%.3f', (doc_id % 97) / 97.0::DOUBLE) || '):' || chr(10) || text"
+
+
+@_query(f"SELECT doc_id // 5 AS query_id, chr(10) || 'Context:' || chr(10) || string_agg({_OLD}, chr(10) || chr(10) ORDER BY doc_id) || chr(10) || chr(10) || 'User: q' || (doc_id // 5) || chr(10) || 'Assistant:' AS prompt FROM documents GROUP BY doc_id // 5")
+def legacy_prompt(t):
+    return prompts.legacy_prompt(_hits(t))
+
+
+@_query(f"SELECT query_id, replace('Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: q' || query_id || chr(10) || chr(10) || 'Answer based on the context:', '{{tone}}', 'calm') AS prompt FROM ({_CTX})")
+def prompt_variables(t):
+    ctx = prompts.context(_hits(t), scores=True, meta="meta").withColumn("query", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    manager = prompts.PromptManager("there is none of this name", variables={"tone": "calm"}).clone()
+    return manager.generate(ctx).select("query_id", "prompt")
+
+
+@_query(f"SELECT query_id, CASE WHEN length(context) > 900 THEN context[1:900] || chr(10) || '...(truncated)' ELSE context END AS context FROM ({_CTX})")
+def context_max_length(t):
+    return prompts.context(_hits(t), scores=True, meta="meta", max_length=900)
+
+
+# --- loaders ---------------------------------------------------------------------------------------
+
+
+def _files(t, ending: str, content):
+    return t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(ending)).alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+@_query("SELECT doc_id || '.json' AS path, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN doc_id::VARCHAR ELSE 'true' END AS text, 'json' AS format FROM documents WHERE text <> ''")
+def load_json(t):
+    value = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("text").alias("body")))).when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.col("doc_id").cast("double").alias("body")))).otherwise(F.lit('{"body": true}'))
+    files = _files(lambda n: t(n).where("text <> ''"), ".json", value)
+    return loaders.parse_files(files, text_field="body").select("path", "text", "format")
+
+
+@_query("SELECT doc_id || '.txt' AS path, text, doc_id || '.txt' AS file_name, 'utf-8' AS encoding FROM documents WHERE text IS NOT NULL")
+def load_text(t):
+    rows = loaders.parse_files(_files(lambda n: t(n).where("text IS NOT NULL"), ".txt", F.col("text")))
+    return rows.select("path", "text", F.col("meta")["fileName"].alias("file_name"), F.col("meta")["encoding"].alias("encoding"))
+
+
+@_query("SELECT doc_id || '.md' AS path, " + _nested("('# Head' || chr(10) || '**b** ' || text)", tx.MARKDOWN_STEPS) + " AS text, 'markdown' AS format FROM documents WHERE text IS NOT NULL")
+def load_markdown(t):
+    md = F.concat(F.lit("# Head\n**b** "), "text")
+    return loaders.parse_files(_files(lambda n: t(n).where("text IS NOT NULL"), ".md", md), strip=True).select("path", "text", "format")
+
+
+@_query("SELECT url, regexp_replace(" + _nested("html", _HTML).replace("'@@'", "chr(10) || chr(10)") + r", '^\s+|\s+$', '', 'g') AS text, 'url' AS format FROM pages")
+def load_pages(t):
+    return loaders.load_pages(t("pages").select("url", "html")).select("url", "text", F.col("meta")["format"].alias("format"))
+
+
 # --- events ----------------------------------------------------------------------------------------
 
 
+@_query("""SELECT event_type AS kind, count(*) AS total, round(sum(coalesce(value, 0)) / count(*), 2) AS avg_duration, round(sum(user_id % 7 / 7.0::DOUBLE) / count(*), 2) AS avg_top_score,
+  round(sum(coalesce(value / 2, 0)) / count(*), 2) AS avg_tokens_per_second, sum(user_id)::BIGINT AS total_doc_count FROM events GROUP BY event_type""")
+def metrics_report(t):
+    rows = t("events").select(F.col("event_type").alias("kind"), F.col("value").alias("duration"), (F.col("user_id") % 7 / 7.0).alias("top_score"), (F.col("value") / 2).alias("tokens_per_second"), F.col("user_id").alias("doc_count"))
+    return observe.metrics_report(rows)
+
+
+@_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events),
+  s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS end_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(t):
+    return telemetry.sessions(t("events"), "6 hours").select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
+
+
+@_query("SELECT time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k::INT) AS start, event_type, count(*) AS n FROM events, range(2) r(k) GROUP BY ALL")
+def sliding_counts(t):
+    rows = telemetry.windowed_counts(t("events"), slide="30 minutes")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 @_query("SELECT event_type, count(*) AS total, round(sum(coalesce(value, 0)) / count(*), 2) AS avg_value, round(sum(coalesce(value, 0)), 2) AS sum_value FROM events GROUP BY event_type")
 def metrics_summary(t):
     return observe.metrics_summary(t("events"), "event_type", "value")

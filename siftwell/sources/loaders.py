@@ -6,9 +6,12 @@ import csv
 import io
 import json
 import re
+import urllib.error
+import urllib.request
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +70,21 @@ def _csv(rows: list[list[str]]) -> str:
     return buffer.getvalue()
 
 
+def js_text(value: object) -> str:
+    """A JSON value as JavaScript's ``String`` shows it."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if value is None:
+        return "null"
+    if isinstance(value, float):
+        return str(int(value)) if value.is_integer() and abs(value) < 1e21 else repr(value)
+    if isinstance(value, list):
+        return ",".join("" if x is None else js_text(x) for x in value)
+    return "[object Object]" if isinstance(value, dict) else str(value)
+
+
 def parse(path: str, raw: bytes, *, encoding: str = "utf-8", text_field: str | None = None, strip: bool = False, sheet: str | None = None, all_sheets: bool = False, parsers: dict[str, Callable[[bytes], str]] | None = None) -> dict:
     """One file's row. ``parsers`` adds or replaces formats (a PDF library, say)."""
     ext = m[0].lower() if (m := re.search(r"\.[^./]+$", path)) else ""
@@ -88,7 +106,7 @@ def parse(path: str, raw: bytes, *, encoding: str = "utf-8", text_field: str | N
         if kind == "json":
             value = json.loads(text)
             data, field = text, value.get(text_field) if text_field and isinstance(value, dict) else None
-            text = str(field) if field else json.dumps(value, indent=2, ensure_ascii=False)
+            text = js_text(field) if field else json.dumps(value, indent=2, ensure_ascii=False)
         elif kind == "markdown" and strip:
             for pattern, to in tx.MARKDOWN_STEPS:
                 text = re.sub(pattern, to.replace("$1", r"\1"), text)
@@ -97,8 +115,8 @@ def parse(path: str, raw: bytes, *, encoding: str = "utf-8", text_field: str | N
     return {"path": path, "text": text, "format": kind, "meta": meta | {"format": kind}, "data": data, "error": None}
 
 
-def load(spark: SparkSession, path: str, *, recursive: bool = False, extensions: tuple[str, ...] | None = None, keep_errors: bool = False, meta: dict[str, str] | None = None, **options) -> DataFrame:
-    """Rows of the file or the files under ``path``; files that cannot be read are left out (or kept with ``error``)."""
+def parse_files(files: DataFrame, *, keep_errors: bool = False, meta: dict[str, str] | None = None, **options) -> DataFrame:
+    """Rows of files given as ``path, content``; files that cannot be read are left out (or kept with ``error``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,15 +128,20 @@ def load(spark: SparkSession, path: str, *, recursive: bool = False, extensions:
                     rows.append({"path": p, "text": None, "format": None, "meta": {}, "data": None, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(rows, columns=["path", "text", "format", "meta", "data", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    if extensions:
-        files = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*extensions))
     rows = files.select("path", "content").mapInPandas(run, SCHEMA)
     if meta:
         rows = rows.withColumn("meta", F.map_concat(F.map_filter("meta", lambda k, v: ~k.isin(list(meta))), F.create_map(*[F.lit(x) for kv in meta.items() for x in kv])))
     return rows if keep_errors else rows.where("error IS NULL")
 
 
+def load(spark: SparkSession, path: str, *, recursive: bool = False, extensions: tuple[str, ...] | None = None, **options) -> DataFrame:
+    """``parse_files`` of the file or the files under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    if extensions:
+        files = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*extensions))
+    return parse_files(files, **options)
+
+
 def load_directory(spark: SparkSession, path: str, *, recursive: bool = False, extensions: tuple[str, ...] = EXTENSIONS, **options) -> DataFrame:
     return load(spark, path, recursive=recursive, extensions=extensions, **options)
 
@@ -143,5 +166,43 @@ def load_pages(pages: DataFrame, *, content_type: Column | None = None, extract_
     return pages.select("url", text.alias("text"), F.create_map(F.lit("url"), F.col("url"), F.lit("contentType"), kind, F.lit("format"), F.lit("url")).alias("meta"))
 
 
+FETCHED = "url string, status int, content_type string, html string, loaded_at timestamp, error string"
+
+
+def fetch_pages(urls: DataFrame, *, headers: dict[str, str] | None = None, timeout: float = 30.0, concurrency: int = 4) -> DataFrame:
+    """``url, status, content_type, html, loaded_at, error`` by HTTP GET; any status outside 200 to 299 is an error.
+
+    Each task works off its urls with ``concurrency`` requests at a time. Failures are rows, not exceptions.
+    """
+
+    def one(url: str) -> tuple:
+        now = pd.Timestamp.now(tz="UTC").tz_localize(None)
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}), timeout=timeout) as r:
+                charset = r.headers.get_content_charset() or "utf-8"
+                return url, r.status, r.headers.get("Content-Type", ""), r.read().decode(charset, "replace"), now, None
+        except urllib.error.HTTPError as e:
+            return url, e.code, e.headers.get("Content-Type", ""), None, now, f"HTTP {e.code}"
+        except Exception as e:  # noqa: BLE001  a url that cannot be read is one row's error
+            return url, None, None, None, now, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                yield pd.DataFrame([*pool.map(one, pdf["url"])], columns=["url", "status", "content_type", "html", "loaded_at", "error"]).astype({"status": "Int32"})
+
+    return urls.select("url").mapInPandas(run, FETCHED)
+
+
+def load_urls(urls: DataFrame, *, extract_text: bool = True, keep_errors: bool = False, **options) -> DataFrame:
+    """``url, text, meta`` of each ``url`` that can be read (or all, with ``error``); only HTML is turned into text."""
+    got = fetch_pages(urls, **options)
+    html = F.coalesce(F.col("content_type").contains("text/html"), F.lit(False)) & F.lit(extract_text)
+    text = F.when(html, tx.html_to_text(F.col("html"))).otherwise(F.col("html"))
+    meta = F.create_map(F.lit("url"), F.col("url"), F.lit("contentType"), F.col("content_type"), F.lit("format"), F.lit("url"), F.lit("loadedAt"), F.date_format("loaded_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    rows = got.select("url", text.alias("text"), meta.alias("meta"), "error")
+    return rows if keep_errors else rows.where("error IS NULL").drop("error")
+
+
 def load_sitemap(maps: DataFrame, xml: str = "xml") -> DataFrame:
     return maps.select(F.explode(tx.sitemap_locs(F.col(xml))).alias("url"))

@@ -1,16 +1,19 @@
 """Edge cases that the SQL comparison does not reach."""
 
+import http.server
+import json
 import math
+import threading
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell import clients, errors
+from siftwell import clients, errors, servers
 from siftwell.functions import chunking as ch
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vx
-from siftwell.operators import prompts, ranking, rules, search, store
+from siftwell.operators import observe, prompts, rag, ranking, rules, search, smart, store
 from siftwell.sources import loaders
 from siftwell.streaming import telemetry
 
@@ -140,3 +143,217 @@ def test_errors_and_clients(spark):
     assert errors.error_code(e) == "RETRIEVAL_ERROR" and errors.error_code(ValueError()) == "UNKNOWN_ERROR" and e.to_json()["metadata"] == {"k": -1}
     assert clients.fold_ndjson(['{"response": "a"}', "x", '{"message": {"content": "b"}}']) == "ab"
     assert clients.generate(spark.createDataFrame([("a\nb",)], "prompt string"), clients.Echo()).first().response == "b"
+
+
+def test_store_in_a_folder_keeps_whole_versions(spark, tmp_path):
+    path = str(tmp_path / "store")
+    row = lambda *r: spark.createDataFrame(list(r), "id string, text string, batch_seq long, embedding array<double>").withColumn("meta", F.create_map(F.lit("k"), F.lit("v")))
+    s = store.create_store(spark, "parquet", path=path)
+    assert not (tmp_path / "store").exists()  # opening writes nothing
+    s.add(row(("a", "one", 0, [1.0, 2.0]), ("b", "two", 1, None)))
+    s.update(spark.createDataFrame([("b", "new", {"l": "w"})], "id string, text string, meta map<string,string>"))
+    assert s.get("a").embedding == [1.0, 2.0] and len(s.get("b").embedding) == 128 and s.get("b").meta == {"k": "v", "l": "w"}
+    s.update(spark.createDataFrame([("a", None, {"l": "x"})], "id string, text string, meta map<string,string>"))
+    assert s.get("a").embedding == [1.0, 2.0] and s.get("a").text == "one"
+    again = store.create_store(spark, "parquet", path=path)
+    assert again.stats().first()["count"] == 2
+    # A version that was not written whole does not count.
+    (tmp_path / "store" / "v9").mkdir()
+    (tmp_path / "store" / "v9" / "part-0.parquet").write_bytes(b"broken")
+    assert store.create_store(spark, "parquet", path=path).get("b").text == "new"
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file.txt").write_text("x")
+    with pytest.raises(errors.VectorStoreError):
+        store.create_store(spark, "parquet", path=str(tmp_path / "other"))
+    assert (tmp_path / "other" / "file.txt").exists()
+    again.close()
+    with pytest.raises(errors.VectorStoreError):
+        again.clear()
+
+
+def test_store_adds_in_batches_with_progress(spark):
+    seen = []
+    s = store.DocumentStore(spark, batch=2, on_progress=lambda done, of: seen.append((done, of)))
+    s.add(spark.createDataFrame([(None, f"t{i}", i) for i in range(5)], "id string, text string, batch_seq long"))
+    assert seen == [(2, 5), (4, 5), (5, 5)] and s.stats().first()["count"] == 5
+    assert s.docs.where("id LIKE 'doc_%'").select("id").distinct().count() == 5
+
+
+def test_blocks_of_queries_give_what_one_matrix_gives(spark, monkeypatch):
+    rng = __import__("random").Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(80)] + [(80, [1.0, 2.0]), (81, None)]
+    docs = spark.createDataFrame(rows, "seq long, embedding array<double>")
+    asked = docs.where("seq % 3 = 0 OR seq > 78").select(F.col("seq").alias("query_id"), "embedding")
+    hits = lambda: sorted(map(tuple, search.top_k(asked, docs, 4).select("query_id", "rank", "seq", "score").collect()))
+    whole = hits()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(search, "DOC_BLOCK", 7)
+    assert hits() == whole and len(whole) > 100
+    unit = lambda v: [x / (math.hypot(*v) or 1) for x in v]
+    for q, v in rows[:80:3]:
+        want = sorted(((-round(sum(a * b for a, b in zip(unit(v), unit(w), strict=True)), 12), i) for i, w in rows[:80]))[:4]
+        assert [(s, -c) for i, r, s, c in whole if i == q] == [(i, c) for c, i in want]
+
+
+def test_smart_retriever_learns(spark):
+    docs = spark.createDataFrame([(i, t, "blog", "2024-05-30") for i, t in enumerate(["latest news here", "old words", "bug in the code", "code"])], "seq long, text string, source string, date string")
+    s = smart.create_smart_retriever(search.Retriever(docs))
+    q = spark.createDataFrame([(1, "latest"), (2, "code error"), (3, "plain words here")], "query_id long, query string")
+    got = s.get_relevant(q, 2, as_of=F.lit("2024-06-01").cast("timestamp"), weights={"keywordMatch": 0.3})
+    said = {r.query_id: r for r in got.decisions.collect()}
+    assert said[1].applied_rules == ["boost-recent-for-news", "expand-short-query"] and said[2].applied_rules == ["suggest-technical-filters"] and said[3].applied_rules == []
+    assert math.isclose(said[1].weights["recency"], 0.4 / 1.2) and math.isclose(said[3].weights["recency"], 0.15 / 1.1)
+    assert got.results.groupBy("query_id").count().where("count = 2").count() == 3 and not said[1].results_modified
+    short = spark.createDataFrame([(i, "short one", 0.1) for i in range(6)], "query_id long, query string, score double")
+    s.provide_feedback(short)
+    assert rules.LEARNED in s.rules and s.decide(q).where("query_id = 2").first().applied_rules[0] == rules.LEARNED
+    rated = spark.createDataFrame([(i, "good code", 0.9) for i in range(12)], "query_id long, query string, score double")
+    s.provide_feedback(rated, rated.select("query_id", F.lit(5).alias("rating")))
+    assert s.patterns == ["good", "code"] and s.insights(spark)["rated"] == 12
+    boosted = s.get_relevant(q, 2, as_of=F.lit("2024-06-01").cast("timestamp"))
+    assert any(r.results_modified for r in boosted.decisions.collect())
+    other = smart.SmartRetriever(search.Retriever(docs), enable_learning=False)
+    other.import_knowledge(s.export_knowledge())
+    other.provide_feedback(short)
+    assert other.patterns == s.patterns and rules.LEARNED not in other.rules and len(other.history) == 18
+
+
+def test_rag_entry_points(spark):
+    docs = spark.createDataFrame([("a", "alpha beta", 0), ("b", "gamma", 1)], "id string, text string, batch_seq long")
+    r = rag.init_rag(spark, docs, dim=32, k=1, base_dim=64)
+    q = spark.createDataFrame([(1, "gamma")], "query_id long, query string")
+    hits = r.retriever.get_relevant(q)
+    assert [h.id for h in hits.collect()] == ["b"]
+    got = rag.generate_with_rag(hits, clients.Echo(), "m", template=lambda q, c: F.concat(c, F.lit("\n"), q), system="Be exact.").first()
+    assert got.prompt == "Be exact.\n\nDoc 1:\ngamma\ngamma" and got.response == "gamma" and got.prompt_length == len(got.prompt)
+    assert rag.generate_legacy(r.retriever, q, clients.Echo(), "m", 1).first().response == "Assistant:"
+    with pytest.raises(Exception, match="no model"):
+        rag.generate_with_rag(hits, Broken(), "m").collect()
+
+
+class Broken:
+    def generate(self, model, prompt):
+        raise errors.GenerationError("no model")
+
+
+def test_metrics_and_telemetry(spark):
+    m = observe.Metrics()
+
+    @observe.measured("query", m)
+    def find(q, k=3):
+        return [{"score": 0.5}]
+
+    @observe.measured("embedding", m)
+    def embed(texts, dim):
+        return [[0.0] * dim for _ in texts]
+
+    @observe.measured("retrieval", m)
+    def fail(q, k):
+        raise errors.RetrievalError.invalid_top_k(k)
+
+    find("x")
+    embed(["a", "b"], 4)
+    with pytest.raises(errors.RetrievalError):
+        fail("q", -1)
+    m.record_generation("m", 10, 20, 1000)
+    s = m.summary(spark)
+    assert s["query"]["total"] == 1 and s["query"]["avg_top_score"] == 0.5 and s["embedding"]["total_doc_count"] == 2 and s["generation"]["avg_tokens_per_second"] == 20 and s["error"]["total"] == 1
+    assert m.raw()["error"][0]["code"] == "RETRIEVAL_ERROR" and "rag_documents_embedded 2" in m.export_prometheus(spark) and '"summary"' in m.export_json(spark)
+    m.reset()
+    assert m.summary(spark)["query"]["total"] == 0
+    t = observe.Telemetry()
+    t.track_query("secret words", "m", 3, 1.5)
+    t.track_document_op(observe.EVENTS["DOCUMENT_ADD"], 2)
+    t.track_error(ValueError("bad"), at="x")
+    assert "secret" not in t.export() and t.summary()["totalEvents"] == 3 and len(t.by_type("rag.query")) == 1 and t.export("csv").startswith("timestamp,eventType,properties\n")
+    assert t.frame(spark).count() == 3 and len(t.in_range(0, 2**60)) == 3
+    assert observe.hash32("abc") == one(spark, tx.hash32(F.lit("abc"))) and observe.base36(-37) == "-11" == one(spark, tx.base36(F.lit(-37)))
+    with pytest.raises(errors.ConfigurationError):
+        t.export("xml")
+    t.clear()
+    assert not t.events
+
+
+def test_log_helpers(caplog):
+    with caplog.at_level("INFO", logger="siftwell"):
+        observe.child_logger("search", part="x").info("found")
+        observe.log_performance("scan", 12.34, rows=3)
+        observe.log_error(errors.RetrievalError.invalid_top_k(0))
+    assert [r.getMessage() for r in caplog.records] == ['found {"part": "x"}', 'scan took 12.3 ms {"rows": 3}', 'RETRIEVAL_ERROR: Invalid k: 0 {"k": 0}']
+
+
+class Handler(http.server.BaseHTTPRequestHandler):
+    """A model server and a few pages."""
+
+    def log_message(self, *args):
+        pass
+
+    def _send(self, body, status=200, kind="application/json"):
+        raw = body.encode()
+        self.send_response(status)
+        self.send_header("Content-Type", kind)
+        self.send_header("Content-Length", str(len(raw)))
+        self.end_headers()
+        self.wfile.write(raw)
+
+    def do_GET(self):
+        pages = {"/page": ("<p>Hi <b>you</b></p>", 200, "text/html; charset=utf-8"), "/raw": ("<p>", 200, "text/plain"), "/v1/models": ('{"data": [{"id": "m"}]}', 200, "application/json")}
+        self._send(*pages.get(self.path, ("gone", 404, "text/plain")))
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if asked.get("model") == "none":
+            return self._send("no such model", 404)
+        texts = asked.get("input")
+        vectors = [[float(len(x)), 1.0] for x in ([texts] if isinstance(texts, str) else texts or [])]
+        answers = {
+            "/api/generate": '{"response": "a"}\n{"response": "b"}\n', "/api/chat": '{"message": {"content": "c"}}', "/api/embed": json.dumps({"embeddings": vectors}),
+            "/v1/embeddings": json.dumps({"data": [{"embedding": v} for v in vectors]}), "/v1/chat/completions": '{"choices": [{"message": {"content": "d"}}]}', "/v1/completions": '{"choices": [{"text": "e"}]}',
+        }
+        self._send(answers[self.path])
+
+
+@pytest.fixture
+def server():
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_address[1]}"
+    s.shutdown()
+
+
+def test_model_servers(spark, server):
+    o, v, p = servers.Ollama(server), servers.OpenAIStyle(server), servers.Proxy(server)
+    assert o.generate("m", "x") == "ab" and [*o.stream("m", "x")] == ["a", "b"] and o.chat("m", "x") == "c" and o.embed("m", ["abc", "d"]) == [[3.0, 1.0], [1.0, 1.0]]
+    assert v.chat("m", "x") == "d" and v.generate("m", "x") == "e" and v.embed("m", "abcd") == [[4.0, 1.0]] and v.list_models() == ["m"]
+    assert p.embed("m", "ab") == [[2.0, 1.0]] and p.generate("m", "x") == "ab"
+    with pytest.raises(errors.EmbeddingError, match="not found"):
+        o.embed("none", "x")
+    with pytest.raises(errors.GenerationError):
+        servers.Ollama("http://127.0.0.1:9").generate("m", "x")
+    for shape in ([1, 2], [[1, 2]], {"embedding": [1, 2]}, {"data": [[1, 2]]}, [{"embedding": [1, 2]}], {"embeddings": [{"embedding": [1, 2]}]}):
+        assert servers.vectors_of(shape) == [[1.0, 2.0]]
+    with pytest.raises(errors.EmbeddingError):
+        servers.vectors_of({})
+    rows = spark.createDataFrame([(0, "abc"), (1, None), (2, "z")], "i long, text string")
+    embed = clients.embedder(o.embed_texts("m"), 2, batch=1, concurrency=2)
+    assert [r.e for r in rows.select("i", embed(F.col("text")).alias("e")).orderBy("i").collect()] == [[3.0, 1.0], None, [1.0, 1.0]]
+    assert clients.generate(rows.select(F.col("text").alias("prompt")).where("prompt IS NOT NULL"), o).first().response == "ab"
+
+
+def test_pages_by_http(spark, server):
+    urls = spark.createDataFrame([(f"{server}{p}",) for p in ("/page", "/raw", "/none")] + [("http://127.0.0.1:9/x",)], "url string")
+    got = {r.url.rpartition("/")[2]: r for r in loaders.load_urls(urls, keep_errors=True, timeout=5).collect()}
+    assert got["page"].text == "Hi you" and got["raw"].text == "<p>" and got["page"].meta["contentType"].startswith("text/html")
+    assert got["none"].error == "HTTP 404" and got["x"].error and loaders.load_urls(urls, timeout=5).count() == 2
+    assert {r.status for r in loaders.fetch_pages(urls, timeout=5).collect()} == {200, 404, None}
+
+
+def test_js_text():
+    assert [loaders.js_text(v) for v in ("a", True, 1.0, 1.5, None, [1, None, "x"], {})] == ["a", "true", "1", "1.5", "null", "1,,x", "[object Object]"]
+
+
+def test_markdown_chunks_keep_to_the_size():
+    assert ch.markdown_chunks("abcd\nefghi\nxyz", 10, 100) == ["abcd", "abcd\n\nefghi", "efghi\n\nxyz"]
+    fenced = "a\n```\n" + "\n".join(["code"] * 10) + "\n```\nend"
+    parts = ch.markdown_chunks(fenced, 20, 50)
+    assert parts[0] == "a\n```\n" + "\n".join(["code"] * 10) and parts[-1].endswith("end")  # no chunk ends while the fence is open
