@@ -10,7 +10,7 @@ from siftwell import clients
 from siftwell.functions import chunking as ch
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vx
-from siftwell.operators import observe, prompts, rag, ranking, rules, search, smart, store
+from siftwell.operators import browse, observe, prompts, rag, ranking, rules, search, smart, store
 from siftwell.session import ship
 from siftwell.sources import loaders
 from siftwell.streaming import telemetry
@@ -446,7 +446,7 @@ def page(t):
 
 @_query("SELECT doc_id::VARCHAR AS id, text, doc_id AS seq FROM documents WHERE doc_id = 7")
 def get_document(t):
-    return _stored(t).where("id = '7'").limit(1)
+    return browse.get(_stored(t), "7")
 
 
 @_query("SELECT count(*) AS count, 64 AS dimension FROM embeddings")
@@ -618,25 +618,29 @@ def windowed_counts(t):
 
 @_query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, round(avg(length(text)), 6) AS mean_length FROM conversations GROUP BY conv_id")
 def conversation_summary(t):
-    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"), _r(F.avg(F.length("text"))).alias("mean_length"))
+    return browse.conversation_summary(t("conversations")).withColumn("mean_length", _r(F.col("mean_length")))
 
 
 @_query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
 def conversation_export(t):
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("x"))))
-    return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda s: s["x"]), "\n").alias("transcript"))
+    return browse.transcripts(t("conversations"))
+
+
+@_query("SELECT conv_id, turn, role, text FROM conversations")
+def conversation_round_trip(t):
+    return browse.import_conversations(browse.export_conversations(t("conversations"))).withColumn("turn", F.col("turn").cast(t("conversations").schema["turn"].dataType))
 
 
 @_query("SELECT DISTINCT lang AS category FROM documents WHERE lang <> ''")
 def distinct_categories(t):
-    return t("documents").where("lang <> ''").select(F.col("lang").alias("category")).distinct()
+    return browse.categories(t("documents"), "lang")
 
 
 @_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND lang = 'en' AND source = 'src1'")
 def doc_browser_filter(t):
-    return t("documents").where(F.lower("text").contains("license") & (F.col("lang") == "en") & (F.col("source") == "src1")).select("doc_id")
+    return browse.browse(t("documents"), "license", lang="en", source="src1").select("doc_id")
 
 
 @_query("SELECT coalesce(nullif(lang, ''), 'unknown') AS kind, count(*) AS n FROM documents GROUP BY 1")
 def type_distribution(t):
-    return t("documents").groupBy(F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("kind")).agg(F.count("*").alias("n"))
+    return browse.type_distribution(t("documents"), "lang")

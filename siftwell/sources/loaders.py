@@ -23,7 +23,7 @@ from siftwell.functions import text as tx
 SCHEMA = "path string, text string, format string, meta map<string,string>, data string, error string"
 #: Extensions that a directory is searched for.
 EXTENSIONS = (".pdf", ".docx", ".doc", ".xlsx", ".xls", ".json", ".md", ".txt")
-FORMATS = {".pdf": "pdf", ".docx": "word", ".doc": "word", ".xlsx": "excel", ".xls": "excel", ".json": "json", ".md": "markdown", ".markdown": "markdown", ".txt": "text", ".text": "text"}
+FORMATS = {".pdf": "pdf", ".docx": "word", ".doc": "word", ".xlsx": "excel", ".xls": "excel", ".pptx": "slides", ".json": "json", ".md": "markdown", ".markdown": "markdown", ".txt": "text", ".text": "text"}
 
 
 def _tag(e: ET.Element) -> str:
@@ -64,6 +64,15 @@ def excel_sheets(raw: bytes) -> dict[str, list[list[str]]]:
     return out
 
 
+def slides_text(raw: bytes) -> str:
+    """The paragraphs of a .pptx file's slides, in order of their numbers."""
+    z = zipfile.ZipFile(io.BytesIO(raw))
+    slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+    paragraphs = lambda n: (p for p in ET.fromstring(z.read(n)).iter() if _tag(p) == "p")
+    lines = ("\n".join("".join(e.text or "" for e in p.iter() if _tag(e) == "t") for p in paragraphs(n)) for _, n in slides)
+    return "\n\n".join(lines)
+
+
 def _csv(rows: list[list[str]]) -> str:
     buffer = io.StringIO()
     csv.writer(buffer, lineterminator="\n").writerows(rows)
@@ -95,6 +104,8 @@ def parse(path: str, raw: bytes, *, encoding: str = "utf-8", text_field: str | N
         raise DocumentLoadError.dependency_missing("pdf", "a parser")
     elif kind == "word":
         text = word_text(raw)
+    elif kind == "slides":
+        text = slides_text(raw)
     elif kind == "excel":
         sheets = excel_sheets(raw)
         meta["sheetNames"] = ",".join(sheets)

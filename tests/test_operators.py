@@ -13,7 +13,7 @@ from siftwell import clients, errors, servers
 from siftwell.functions import chunking as ch
 from siftwell.functions import text as tx
 from siftwell.functions import vectors as vx
-from siftwell.operators import observe, prompts, rag, ranking, rules, search, smart, store
+from siftwell.operators import browse, observe, prompts, rag, ranking, rules, search, smart, store
 from siftwell.sources import loaders
 from siftwell.streaming import telemetry
 
@@ -357,3 +357,15 @@ def test_markdown_chunks_keep_to_the_size():
     fenced = "a\n```\n" + "\n".join(["code"] * 10) + "\n```\nend"
     parts = ch.markdown_chunks(fenced, 20, 50)
     assert parts[0] == "a\n```\n" + "\n".join(["code"] * 10) and parts[-1].endswith("end")  # no chunk ends while the fence is open
+
+
+def test_slides_and_conversations(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "d.pptx", "w") as z:
+        for n, t in ((2, "second"), (10, "tenth"), (1, "first")):
+            z.writestr(f"ppt/slides/slide{n}.xml", f'<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>{t} </a:t></a:r><a:r><a:t>slide</a:t></a:r></a:p></p:sld>')
+    assert loaders.load(spark, str(tmp_path)).first().text == "first slide\n\nsecond slide\n\ntenth slide"
+    one_more = browse.append_message(spark, spark.createDataFrame([(1, 0, "user", "hi")], browse.MESSAGE), 1, "assistant", "yes")
+    assert browse.transcripts(one_more).first().transcript == "user: hi\nassistant: yes"
+    assert browse.append_message(spark, one_more, 5, "user", "new").where("conv_id = 5").first().turn == 0
+    lines = browse.export_conversations(one_more).unionByName(spark.createDataFrame([("no json",)], "value string"))
+    assert sorted(map(tuple, browse.import_conversations(lines).collect())) == sorted(map(tuple, one_more.collect()))
