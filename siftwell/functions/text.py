@@ -24,7 +24,8 @@ def fingerprint(text: Column, n: int = 100) -> Column:
     return trim_all(F.lower(F.substring(text, 1, n)))
 
 
-#: The patterns and order that HTML is turned into text by.
+#: The patterns and order that HTML is turned into text by. The first two take all up to the first closing
+#: tag, which is what their published forms, with a loop over "<" that is no closing tag, match as well.
 HTML_STEPS = [
     (r"(?is)<script\b.*?</script>", ""), (r"(?is)<style\b.*?</style>", ""), (r"<[^>]+>", " "),
     ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), (r"(?i)&[a-z]+;", ""),

@@ -369,3 +369,22 @@ def test_slides_and_conversations(spark, tmp_path):
     assert browse.append_message(spark, one_more, 5, "user", "new").where("conv_id = 5").first().turn == 0
     lines = browse.export_conversations(one_more).unionByName(spark.createDataFrame([("no json",)], "value string"))
     assert sorted(map(tuple, browse.import_conversations(lines).collect())) == sorted(map(tuple, one_more.collect()))
+
+
+def test_learning_from_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "good code", 5) for i in range(12)], "seq long, query string, feedback int")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    learned = []
+    derive = lambda history: learned.append([r.term for r in rules.mine_patterns(history).collect()])
+    for _ in range(2):  # a second run finds nothing new and repeats nothing
+        telemetry.learn_incrementally(stream, str(tmp_path / "history"), str(tmp_path / "ck"), derive).awaitTermination()
+    assert learned == [["good", "code"]] and spark.read.parquet(str(tmp_path / "history")).count() == 12
+
+
+def test_slides_windows_and_sessions(spark):
+    at = lambda m: F.timestamp_seconds(F.lit(1_700_000_000 + 60 * m))
+    e = spark.range(1).select(F.explode(F.array(*(F.struct(at(m).alias("ts"), F.lit("v").alias("event_type"), F.lit(1.0).alias("value"), F.lit(u).alias("user_id")) for m, u in ((0, 1), (10, 1), (50, 1), (5, 2))))).alias("e")).select("e.*")
+    got = telemetry.sessions(e).collect()
+    assert sorted((r.user_id, r.n) for r in got) == [(1, 1), (1, 2), (2, 1)]
+    assert telemetry.windowed_counts(e, slide="30 minutes").agg(F.sum("n")).first()[0] == 8
