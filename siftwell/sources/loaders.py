@@ -10,6 +10,7 @@ import urllib.error
 import urllib.request
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -64,6 +65,62 @@ def excel_sheets(raw: bytes) -> dict[str, list[list[str]]]:
     return out
 
 
+_PDF_STREAM = re.compile(rb"<<(?P<head>(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", re.S)
+_PDF_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|-?\d+\.?\d*|T\*|Tj|TJ|Td|TD|Tm|ET|BT|['\"\[\]]|/?[A-Za-z]+", re.S)
+#: Escapes in a PDF's texts.
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(token: bytes) -> str:
+    if token.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        plain = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][:1] in b"\r\n" else _PDF_ESCAPES.get(m[1], m[1])
+        raw = re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
+
+
+def pdf_text(raw: bytes) -> str:
+    """The texts that a PDF's content streams show, a line for each move to a new line.
+
+    For plain and deflated streams and fonts with one byte a character, as most simple files have; pass a library
+    as ``parsers={"pdf": ...}`` for others (embedded subsets with their own codes, encryption, object streams).
+    """
+    if not raw.startswith(b"%PDF"):
+        raise DocumentLoadError.parsing_error("pdf", "it does not begin like a PDF")
+    if b"/Encrypt" in raw:
+        raise DocumentLoadError.dependency_missing("pdf", "a parser for encrypted files")
+    pages = []
+    for m in _PDF_STREAM.finditer(raw):
+        body = m["body"]
+        if b"FlateDecode" in m["head"]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        if b"BT" not in body or b"/Image" in m["head"]:
+            continue
+        lines, held, numbers = [""], [], []
+        for token in _PDF_SHOWN.findall(body):
+            if token[:1] in b"(<":
+                held.append(_pdf_string(token))
+            elif re.fullmatch(rb"-?\d+\.?\d*", token):
+                numbers.append(float(token))
+                if held and numbers[-1] < -200:  # a wide gap within an array of shown texts
+                    held.append(" ")
+            elif token in (b"[", b"]"):
+                continue
+            else:
+                if token in (b"'", b'"', b"T*") or token in (b"Td", b"TD") and len(numbers) > 1 and numbers[-1] or token == b"Tm":
+                    lines.append("")
+                if token in (b"Tj", b"TJ", b"'", b'"'):
+                    lines[-1] += "".join(held)
+                held, numbers = [], []
+        pages.append("\n".join(line for line in lines if line))
+    return "\n\n".join(p for p in pages if p)
+
+
 def slides_text(raw: bytes) -> str:
     """The paragraphs of a .pptx file's slides, in order of their numbers."""
     z = zipfile.ZipFile(io.BytesIO(raw))
@@ -101,7 +158,7 @@ def parse(path: str, raw: bytes, *, encoding: str = "utf-8", text_field: str | N
     if parsers and kind in parsers:
         text = parsers[kind](raw)
     elif kind == "pdf":
-        raise DocumentLoadError.dependency_missing("pdf", "a parser")
+        text = pdf_text(raw)
     elif kind == "word":
         text = word_text(raw)
     elif kind == "slides":

@@ -5,6 +5,7 @@ import json
 import math
 import threading
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -388,3 +389,16 @@ def test_slides_windows_and_sessions(spark):
     got = telemetry.sessions(e).collect()
     assert sorted((r.user_id, r.n) for r in got) == [(1, 1), (1, 2), (2, 1)]
     assert telemetry.windowed_counts(e, slide="30 minutes").agg(F.sum("n")).first()[0] == 8
+
+
+def test_pdf(spark, tmp_path):
+    shown = b"BT /F1 12 Tf 72 700 Td (Hello \\(big\\) world) Tj 0 -14 Td [(Sec) -20 (ond) -300 (line)] TJ T* <48 69> Tj (\\351t\\351) ' ET"
+    packed = zlib.compress(b"BT (page two) Tj ET")
+    parts = [b"%%PDF-1.4\n1 0 obj\n<< /Length %d >>\nstream\n" % len(shown), shown, b"\nendstream\nendobj\n2 0 obj\n<< /Filter /FlateDecode /Length %d >>\nstream\n" % len(packed), packed, b"\nendstream\nendobj\n%%EOF"]
+    (tmp_path / "a.pdf").write_bytes(b"".join(parts))
+    (tmp_path / "bad.pdf").write_bytes(b"no pdf")
+    (tmp_path / "locked.pdf").write_bytes(b"%PDF-1.4 /Encrypt")
+    got = {r.path.rpartition("/")[2]: r for r in loaders.load_directory(spark, str(tmp_path), keep_errors=True).collect()}
+    assert got["a.pdf"].text == "Hello (big) world\nSecond line\nHi\nété\n\npage two" and got["a.pdf"].format == "pdf"
+    assert "DocumentLoadError" in got["bad.pdf"].error and "encrypted" in got["locked.pdf"].error
+    assert loaders.load(spark, str(tmp_path), parsers={"pdf": lambda raw: "own"}).count() == 3
