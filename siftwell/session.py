@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -51,6 +53,8 @@ def ship(spark: SparkSession) -> None:
     name = f"siftwell-{digest.hexdigest()[:16]}.zip"
     if any(f.endswith(name) for f in spark.sparkContext.listFiles):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="siftwell-"), name)
+    folder = tempfile.mkdtemp(prefix="siftwell-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from the driver as long as that runs
+    path = os.path.join(folder, name)
     Path(path).write_bytes(buffer.getvalue())
     spark.sparkContext.addPyFile(path)
