@@ -36,7 +36,7 @@ from siftwell.llm.common import materialize, small_batches, text_or_empty
 #: Words of the corpus that are compiled into the lexicon, the most frequent first.
 LEXICON_WORDS = 32_768
 #: Words that a worker keeps resolved, twice: the latest ones, and those from before them.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 #: Distinct words that a worker counts before it hands the counts on.
 COUNT_WORDS = 400_000
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of a text that may be sampled; longer ones are scored like any other, but not learned from.
-MAX_CHARS = 100_000
+MAX_CHARS = 30_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int) -> tuple[list[str], list[int], dict[int, int]]:
