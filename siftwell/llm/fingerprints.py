@@ -10,13 +10,14 @@ weighted terms (sum of minima over sum of maxima), so the share of samples that
 from __future__ import annotations
 
 import hashlib
+import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import partitions, read_table, small_batches, text_or_empty
@@ -24,7 +25,7 @@ from siftwell.llm.common import partitions, read_table, small_batches, text_or_e
 #: Samples of a fingerprint; the likeness has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 128
 #: Weighted terms of one block in memory, so that a very long text is worked off in blocks.
-BLOCK = 40_000
+BLOCK = 65_536
 #: Weighted terms whose values are worked out together, so that they stay in the processor's cache.
 ROWS = 192
 _MEMO = 300_000
@@ -37,9 +38,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _unit(bits: np.ndarray) -> np.ndarray:
-    """Uniform in (0, 1) from 32 bits."""
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+def _units(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers in (0, 1) from 64 bits: the upper and the lower half."""
+    halves = bits.view("<u4").reshape(*bits.shape, 2)
+    scaled = halves.astype(np.float32)
+    scaled += np.float32(0.5)
+    scaled *= np.float32(2.0**-32)
+    return scaled[..., 1], scaled[..., 0]
 
 
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -51,9 +56,8 @@ def _variates(terms: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.nd
     a = _mix(terms ^ samples)
     b = _mix(a + np.uint64(0x9E3779B97F4A7C15))
     c = _mix(b + np.uint64(0x9E3779B97F4A7C15))
-    rate = np.maximum(-np.log(_unit(a >> _HALF) * _unit(a & _LOW)), np.float32(1e-6))
-    log_c = np.log(np.maximum(-np.log(_unit(b >> _HALF) * _unit(b & _LOW)), np.float32(1e-6)))
-    return rate, log_c, _unit(c >> _HALF)
+    gamma = lambda bits: np.maximum(-np.log(np.multiply(*_units(bits))), np.float32(1e-6))
+    return gamma(a), np.log(gamma(b)), _units(c)[0]
 
 
 def _level(log_w: np.ndarray, rate: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -63,20 +67,20 @@ def _level(log_w: np.ndarray, rate: np.ndarray, beta: np.ndarray) -> np.ndarray:
 class Sampler:
     def __init__(self) -> None:
         self.memo: dict[str, int] = {}
+        self.before = np.zeros(0, np.uint64), np.zeros((0, SAMPLES), np.uint64)  # pairs of the last batch and their values
 
-    def _hashes(self, words) -> list[int]:
+    def _hashes(self, words: Counter) -> list[int]:
         memo = self.memo
         if len(memo) > _MEMO:
             memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return [memo[w] for w in words]
+        for w in set(words).difference(memo):
+            memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return [*map(memo.__getitem__, words)]
 
     def signatures(self, texts: list[str]) -> np.ndarray:
         """``len(texts) x SAMPLES`` numbers of 16 bits; 0 throughout for a text without terms, never 0 else."""
         out = np.zeros((len(texts), SAMPLES), np.uint16)
-        for a, b in small_batches(texts, 1_500_000):
+        for a, b in small_batches(texts, 1_000_000):
             self._batch(texts[a:b], out[a:b])
         return out
 
@@ -99,7 +103,7 @@ class Sampler:
         best = np.full((len(texts), SAMPLES), np.uint64(0xFFFFFFFFFFFFFFFF))
         for lo in range(0, len(keys), BLOCK):
             hi = min(lo + BLOCK, len(keys))
-            table = self._values(h[lo:hi], log_w[lo:hi], lo)
+            table = self._table(keys[lo:hi], h[lo:hi], log_w[lo:hi], lo)
             for d in range(len(texts)):
                 r = row[at[d] : at[d + 1]]
                 if hi - lo < len(keys):
@@ -112,9 +116,20 @@ class Sampler:
         level = _level(log_w[chosen], rate, beta).astype(np.int64).view(np.uint64)
         out[full] = 1 + _mix(h[chosen] ^ _mix(level + np.uint64(77))) % np.uint64(65535)
 
+    def _table(self, keys: np.ndarray, h: np.ndarray, log_w: np.ndarray, lo: int) -> np.ndarray:
+        """Each pair's value for each sample as sortable bits, above the pair's row number. Pairs that the last batch had keep their values."""
+        old, values = self.before
+        at = np.minimum(np.searchsorted(old, keys), max(0, len(old) - 1))
+        same = old[at] == keys if len(old) else np.zeros(len(keys), bool)
+        table = np.empty((len(keys), SAMPLES), np.uint64)
+        table[same] = values[at[same]] & ~_LOW
+        table[~same] = self._values(h[~same], log_w[~same])
+        table |= np.arange(lo, lo + len(h), dtype=np.uint64)[:, None]
+        self.before = keys, table
+        return table
+
     @staticmethod
-    def _values(h: np.ndarray, log_w: np.ndarray, lo: int) -> np.ndarray:
-        """Each pair's value for each sample as sortable bits, above the pair's row number."""
+    def _values(h: np.ndarray, log_w: np.ndarray) -> np.ndarray:
         table = np.empty((len(h), SAMPLES), np.uint64)
         for k in range(0, len(h), ROWS):
             rate, log_c, beta = _variates(h[k : k + ROWS, None], _SEEDS)
@@ -122,7 +137,6 @@ class Sampler:
             bits = value.astype(np.float32).view(np.uint32)
             bits ^= np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
             table[k : k + ROWS] = bits.astype(np.uint64) << _HALF
-        table |= np.arange(lo, lo + len(h), dtype=np.uint64)[:, None]
         return table
 
 
@@ -141,25 +155,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+#: Sampled rows for each cut between buckets, and cuts at most.
+PER_CUT, CUTS = 40, 25_000
+
+
 def in_descending_order(docs: DataFrame) -> DataFrame:
-    """``bucket, guard, doc_id, text``: rows dealt out by ranges of doc_id, each bucket with the row that follows its last.
+    """``bucket, guard, doc_id, text``: rows dealt out by ranges of their order, each bucket with the row that follows its last.
 
-    The cuts are quantiles of doc_id, so buckets are about even. The first row of a bucket also goes,
-    as its guard, to the bucket before (the very first one to the last). Nothing else is doubled.
+    The order is descending doc_id (null last), then a hash of the text, then the text, so rows that share an id
+    are dealt out too. The cuts come from a sample, which decides about balance only. The first row of a bucket also
+    goes, as its guard, to the bucket before (the very first one to the last). Nothing else is doubled.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 10_000).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0), F.lit(0))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket)
-    rows = rows.withColumn("bucket", bucket)
-    firsts = sorted((r.bucket, r.top) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())  # one row a bucket
-    marks = spark.createDataFrame([(b, top, firsts[i - 1][0]) for i, (b, top) in enumerate(firsts)], "bucket int, top long, before int")
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(F.struct("bucket", F.lit(False).alias("guard")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guard")))).otherwise(F.array(F.struct("bucket", F.lit(False).alias("guard"))))
-    dealt = rows.join(F.broadcast(marks), "bucket").select(F.explode(copies).alias("at"), "doc_id", "text")
-    return dealt.select("at.bucket", "at.guard", "doc_id", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "guard", F.desc_nulls_last("doc_id"), "text")
+    # ~id instead of -id, which the least id does not have.
+    rows = rows.withColumn("at", F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("m"), F.xxhash64("text").alias("h")))
+    many = min(4 * n, CUTS)
+    share = min(1.0, PER_CUT * many / max(1, docs.count()))
+    sampled = sorted(tuple(r["at"]) for r in rows.select("at").sample(share, 11).collect())
+    cuts = sorted({sampled[len(sampled) * i // many] for i in range(1, many)}) if sampled else []
+    rows = rows.withColumn("bucket", _bucket(cuts))
+    firsts = sorted((r.bucket, tuple(r.top)) for r in rows.groupBy("bucket").agg(F.min("at").alias("top")).collect())  # one row a bucket
+    marks = spark.createDataFrame([(b, top, firsts[i - 1][0]) for i, (b, top) in enumerate(firsts)], f"bucket int, top {_AT}, before int")
+    own = F.struct("bucket", F.lit(False).alias("guard"))
+    copies = F.when(F.col("at") == F.col("top"), F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guard")))).otherwise(F.array(own))
+    dealt = rows.join(F.broadcast(marks), "bucket").select(F.explode(copies).alias("to"), "at", "doc_id", "text")
+    return dealt.select("to.bucket", "to.guard", "doc_id", "text", "at").repartition(n, "bucket").sortWithinPartitions("bucket", "guard", "at", "text").drop("at")
+
+
+_AT = "struct<z:boolean,m:bigint,h:bigint>"
+
+
+def _bucket(cuts: list[tuple[bool, int, int]]) -> Column:
+    """How many cuts are not after ``at``: first among every k-th cut, then among the k from there."""
+    if not cuts:
+        return F.lit(0)
+    k = int(len(cuts) ** 0.5) + 1
+    table = lambda some: F.from_json(F.lit(json.dumps([{"z": z, "m": m, "h": h} for z, m, h in some])), f"array<{_AT}>")
+    passed = lambda some: F.size(F.filter(some, lambda c: c <= F.col("at")))
+    coarse = passed(table(cuts[::k]))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * k + passed(F.slice(table(cuts), (coarse - 1) * k + 1, F.lit(k)))).cast("int")
 
 
 def edited(text: str, following: str) -> str:
@@ -174,7 +210,8 @@ _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edi
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
-    Rows with equal doc_id follow each other by text; null ids come last; a lone row follows itself.
+    Rows with equal doc_id follow each other by a hash of the text, then the text; null ids come last; a lone row
+    follows itself. Repeated rows come out as often as they are there; other columns are ignored.
     Two empty texts are alike (1), an empty and a filled one are not (0). No rows in, no rows out.
     """
 
