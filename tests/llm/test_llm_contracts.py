@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siftwell.llm import bpe, exact, fingerprints, jaccard_join, labelled, lines, packing, pii, quality, secrets, toxicity
+from siftwell.llm import bpe, common, exact, fingerprints, jaccard_join, labelled, lines, packing, pii, quality, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -477,3 +477,29 @@ def test_pipeline_rows_follow_from_its_stages(spark):
         for _, a, b in secrets.find(text):
             text = text[:a] + "*" * (b - a) + text[b:]
         assert out[out["doc_id"] == i]["length"].sum() == len(lib.encode(text, add_special_tokens=False).ids) + 1
+
+
+# --- shared ----------------------------------------------------------------------------------------
+
+
+def test_hot_keys_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    left = spark.range(3000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 40).cast("long").alias("k"), F.lit("x").alias("size"))
+    right = left.where("k % 2 = 1").groupBy("k").agg(F.count("*").alias("n"), F.count("*").alias("weight")).cache()
+    for how in ("left", "inner"):
+        got = common.join_per_key(left, right, "k", size="weight", how=how)
+        want = left.join(right.drop("weight"), "k", how)
+        assert set(got.columns) == set(want.columns) and got.count() == want.count() and got.select(*want.columns).exceptAll(want).isEmpty()
+    assert common.join_per_key(left, right.where("false"), "k", size="weight").count() == 3000
+    assert common.join_per_key(left.where("false"), right, "k", size="weight").count() == 0
+
+
+def test_release_keeps_to_its_account(spark):
+    outer = common.materialize(spark.range(3), "outer")
+    with common.own_account():
+        first, last = common.materialize(spark.range(4), "first"), common.materialize(spark.range(5), "last")
+        common.release(spark, keep=1)
+        assert last.count() == 5
+        with pytest.raises(Exception, match="first"):
+            first.count()
+    assert outer.count() == 3
