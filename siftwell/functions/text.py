@@ -56,8 +56,14 @@ def sitemap_locs(xml: Column) -> Column:
 
 
 def hash32(text: Column) -> Column:
-    """The 32-bit hash h * 31 + c, signed, over a string's characters."""
-    step = lambda h, c: F.pmod(h * 31 + F.ascii(c) + 2147483648, F.lit(4294967296)) - 2147483648
+    """The 32-bit hash h * 31 + c, signed, over a string's UTF-16 units."""
+    wrap = lambda h: F.pmod(h + 2147483648, F.lit(4294967296)) - 2147483648
+
+    def step(h: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        high, low = 0xD800 + F.floor((code - 0x10000) / 0x400), 0xDC00 + (code - 0x10000) % 0x400
+        return F.when(code < 0x10000, wrap(h * 31 + code)).otherwise(wrap((h * 31 + high) * 31 + low))
+
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
 
 

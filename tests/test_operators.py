@@ -268,7 +268,9 @@ def test_metrics_and_telemetry(spark):
     t.track_error(ValueError("bad"), at="x")
     assert "secret" not in t.export() and t.summary()["totalEvents"] == 3 and len(t.by_type("rag.query")) == 1 and t.export("csv").startswith("timestamp,eventType,properties\n")
     assert t.frame(spark).count() == 3 and len(t.in_range(0, 2**60)) == 3
-    assert observe.hash32("abc") == one(spark, tx.hash32(F.lit("abc"))) and observe.base36(-37) == "-11" == one(spark, tx.base36(F.lit(-37)))
+    assert all(observe.hash32(x) == one(spark, tx.hash32(F.lit(x))) for x in ("abc", "", "é😀" * 9))
+    assert observe.hash32("abc") == 96354
+    assert observe.base36(-37) == "-11" == one(spark, tx.base36(F.lit(-37)))
     with pytest.raises(errors.ConfigurationError):
         t.export("xml")
     t.clear()
