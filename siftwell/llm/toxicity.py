@@ -112,6 +112,12 @@ def bags(words: list[str | tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order].astype(np.int32), np.bincount(own, minlength=len(words)).astype(np.int32)
 
 
+def _all_bags(words: list[str | tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """``bags`` of any number of words, worked out by parts."""
+    parts = [bags(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    return np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+
+
 def grams(word: str | tuple[int, str]) -> list[int]:
     """Buckets of one word's bag."""
     return bags([word])[0].tolist()
@@ -179,9 +185,8 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
             words.extend(ids[a : a + SEGMENT])
     word, seg_start, doc_start = (np.frombuffer(x, np.int32) for x in (words, seg_start, doc_start))
     seg_len = np.diff(np.append(seg_start, len(word)))
-    of_seg = np.repeat(np.arange(len(seg_start), dtype=np.int32), seg_len)
     of_doc = np.repeat(np.arange(len(doc_start), dtype=np.int32), np.diff(np.append(doc_start, len(seg_start))))
-    gram, bag_len = bags(list(number))
+    gram, bag_len = _all_bags(list(number))
     bag_start = np.append(0, np.cumsum(bag_len))
     in_texts = np.zeros(BUCKETS, np.int32)
     seg_end, doc_end = np.append(seg_start[1:], len(word)), np.append(doc_start[1:], len(seg_start))
@@ -194,7 +199,7 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
     use = model.known[gram]
     bags_n = len(bag_len)
     of_bag = np.repeat(np.arange(bags_n, dtype=np.int32), bag_len)[use]
-    gram = (np.cumsum(model.known) - 1)[gram[use]]
+    gram = (np.cumsum(model.known, dtype=np.int32) - 1)[gram[use]]
     bag_len = np.maximum(np.bincount(of_bag, minlength=bags_n), 1)
     embedding = model.embedding[rows]
     del number
@@ -205,17 +210,22 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: i
     for step in range(1, rounds + 1):
         theta = model.softmax[:, 1] - model.softmax[:, 0]
         by_word = np.bincount(of_bag, (embedding @ theta)[gram], bags_n) / bag_len
-        margin = np.add.reduceat(by_word[word], seg_start) / seg_len + model.bias[1] - model.bias[0]
+        margin = np.add.reduceat(by_word.astype(np.float32)[word], seg_start) / seg_len + (model.bias[1] - model.bias[0])
         if step <= warm:
+            chosen = np.arange(len(margin))
             pull = (1 / (1 + np.exp(-margin)) - y[of_doc]) * (weight / np.bincount(of_doc))[of_doc]
         else:
             top = np.maximum.reduceat(margin, doc_start)
-            first = np.full(len(doc_start), len(margin))
+            chosen = np.full(len(doc_start), len(margin))
             hit = np.flatnonzero(margin == top[of_doc])
-            np.minimum.at(first, of_doc[hit], hit)
-            pull = np.zeros(len(margin))
-            pull[first] = (1 / (1 + np.exp(-top)) - y) * weight
-        on_word = np.bincount(word, (pull / seg_len)[of_seg], bags_n)
+            np.minimum.at(chosen, of_doc[hit], hit)
+            pull = (1 / (1 + np.exp(-top)) - y) * weight
+        on_word = np.zeros(bags_n)
+        for k in range(0, len(chosen), 20_000):  # bounds what is copied at a time
+            some = chosen[k : k + 20_000]
+            size = seg_len[some]
+            at = np.repeat(seg_start[some] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            on_word += np.bincount(word[at], np.repeat(pull[k : k + 20_000] / size, size), bags_n)
         on_gram = np.bincount(gram, (on_word / bag_len)[of_bag], len(rows)).astype(np.float32)
         on_theta = on_gram @ embedding + 1e-5 * theta
         slope = [on_gram[:, None] * theta + decay * embedding, np.stack([-on_theta, on_theta], 1), np.array([-pull.sum(), pull.sum()], np.float32)]
