@@ -40,7 +40,7 @@ GROUPS = 64
 #: Counters of the sketch, and the blocks in which partitions hand them over.
 SKETCH, BLOCKS = 1 << 18, 16
 #: Shingles of the sets of a chunk, on average; a task holds one chunk, or one chunk and a block of its visitors.
-LIMIT = 3_000_000
+LIMIT = 500_000
 #: Chunks of a split group are dealt by size of set, in so many bands for each doubling.
 BANDS = 4
 FANOUT = 32
@@ -122,22 +122,6 @@ class CountTree:
         return leaf[7 * np.minimum(self.points[leaf], point).sum(axis=1) >= 3 * (size + self.sizes[leaf])]
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Shingles in common of two sorted sets."""
     if len(a) < len(b):
@@ -174,21 +158,27 @@ def links(sets: list[np.ndarray], visits: np.ndarray, same: np.ndarray, every: b
     earlier one; ``same`` marks members known to be connected. Where there are visitors, only they and their
     hosts are compared.
     """
-    forest, found = Forest(len(sets)), []
-    for i in np.flatnonzero(same)[1:].tolist():
-        forest.join(int(np.flatnonzero(same)[0]), i)
-    guests = visits.any()
+    label, found, guests = np.arange(len(sets)), [], visits.any()
+    if same.any():
+        label[same] = np.flatnonzero(same)[0]
     for a, partners in candidates([vector(s) for s in sets], np.array([len(s) for s in sets])):
-        for b in (partners[visits[partners] != visits[a]] if guests else partners).tolist():
-            if not every and forest.root(a) == forest.root(b):
-                continue
+        if guests:
+            partners = partners[visits[partners] != visits[a]]
+        while True:
+            if not every:
+                partners = partners[label[partners] != label[a]]
+            if not len(partners):
+                break
+            b, partners = int(partners[0]), partners[1:]
             both = overlap(sets[a], sets[b])
-            if 7 * both >= 3 * (len(sets[a]) + len(sets[b])):
-                if every:
-                    found.append((max(a, b), min(a, b), both))
-                else:
-                    forest.join(a, b)
-    return found if every else [(i, forest.root(i), 0) for i in range(len(sets)) if forest.root(i) != i]
+            if 7 * both < 3 * (len(sets[a]) + len(sets[b])):
+                continue
+            if every:
+                found.append((max(a, b), min(a, b), both))
+            else:
+                low, high = sorted((int(label[a]), int(label[b])))
+                label[label == high] = low
+    return found if every else [(i, int(r), 0) for i, r in enumerate(label) if r != i]
 
 
 def may_link(points: list[np.ndarray], sizes: np.ndarray, visits: np.ndarray) -> np.ndarray:

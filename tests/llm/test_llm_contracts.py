@@ -176,7 +176,7 @@ def near_copies(n, seed, size=60):
     return out + out[7:12]
 
 
-@pytest.mark.parametrize("limit", [3_000_000, 600, 150])
+@pytest.mark.parametrize("limit", [500_000, 600, 150])
 def test_all_links_and_their_number(spark, monkeypatch, limit):
     monkeypatch.setattr(jaccard_join, "LIMIT", limit)
     texts = near_copies(36, limit)

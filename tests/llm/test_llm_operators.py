@@ -102,7 +102,7 @@ def brute_components(texts):
     return [(len(s), u) for s, u in zip(sets, up, strict=True)]
 
 
-@pytest.mark.parametrize("limit", [3_000_000, 400])
+@pytest.mark.parametrize("limit", [500_000, 400])
 def test_jaccard_join(spark, monkeypatch, limit):
     """With the small limit groups are split, so that members have to visit other chunks."""
     monkeypatch.setattr(jaccard_join, "LIMIT", limit)
