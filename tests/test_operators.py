@@ -228,13 +228,13 @@ def test_rag_entry_points(spark):
     got = rag.generate_with_rag(hits, clients.Echo(), "m", template=lambda q, c: F.concat(c, F.lit("\n"), q), system="Be exact.").first()
     assert got.prompt == "Be exact.\n\nDoc 1:\ngamma\ngamma" and got.response == "gamma" and got.prompt_length == len(got.prompt)
     assert rag.generate_legacy(r.retriever, q, clients.Echo(), "m", 1).first().response == "Assistant:"
-    with pytest.raises(Exception, match="no model"):
-        rag.generate_with_rag(hits, Broken(), "m").collect()
 
+    class Broken:  # here, so that it travels to the workers by value
+        def generate(self, model, prompt):
+            raise errors.GenerationError("no model")
 
-class Broken:
-    def generate(self, model, prompt):
-        raise errors.GenerationError("no model")
+    with pytest.raises(Exception, match="no model"):
+        rag.generate_with_rag(hits, Broken(), "m").collect()
 
 
 def test_metrics_and_telemetry(spark):
