@@ -46,6 +46,13 @@ def _r(c, n: int = 6):
     return F.round(c, n)
 
 
+def _signed_r(c, n: int):
+    """``round`` as SQL has it: halves of the scaled double go away from 0, and what is below 0 keeps its sign (-0.0, which ``F.round`` makes 0.0)."""
+    scaled = c * 10.0**n
+    whole = F.rint(scaled)
+    return F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole) / 10.0**n
+
+
 # --- vectors and search ----------------------------------------------------------------------------
 
 
@@ -115,7 +122,7 @@ _MRL = "list_transform(range(16), lambda i: list_avg(embedding[i * 4 + 1 : i * 4
 
 @_query(f"SELECT vec_id, list_transform(m, lambda x: round(x / sqrt(list_sum(list_transform(m, lambda y: y * y))), 5)) AS reduced FROM (SELECT vec_id, {_MRL} AS m FROM embeddings)")
 def mrl_reduce_16(t):
-    return _vectors(t).select("vec_id", F.transform(vx.mrl_reduce(F.col("embedding"), 16, 64), lambda x: F.round(x, 5)).alias("reduced"))
+    return _vectors(t).select("vec_id", F.transform(vx.mrl_reduce(F.col("embedding"), 16, 64), lambda x: _signed_r(x, 5)).alias("reduced"))
 
 
 @_query(f"""SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM (
